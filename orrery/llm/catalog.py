@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import mixing, packing
+from orrery.llm import jaccard, mixing, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_mixing": mixing.op5_mixing,
     }
