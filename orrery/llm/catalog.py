@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import jaccard, mixing, packing
+from orrery.llm import digest, jaccard, langid, mixing, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_improbable_features": digest.op2_improbable_features,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_mixing": mixing.op5_mixing,
+        "op9_quality_rules": quality.op9_quality_rules,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
