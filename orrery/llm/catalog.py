@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import digest, html, jaccard, langid, mixing, packing, pii, quality
+from orrery.llm import digest, html, jaccard, langid, licenses, mixing, packing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op5_mixing": mixing.op5_mixing,
         "op6_html_extraction": html.op6_html_extraction,
+        "op7_license_scans": licenses.op7_license_scans,
         "op8_pii_pseudonyms": pii.op8_pii_pseudonyms,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_language_id": langid.op10_language_id,
