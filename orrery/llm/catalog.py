@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import digest, html, jaccard, langid, licenses, mixing, packing, pii, quality
+from orrery.llm import digest, flac, html, jaccard, langid, licenses, mixing, packing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_flac_media": flac.op1_flac_media,
         "op2_improbable_features": digest.op2_improbable_features,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
