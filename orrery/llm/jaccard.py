@@ -11,12 +11,13 @@ How it goes, with nothing that holds one row per pair of a group of copies:
    empty parts, and sets with so many emit their prefix tokens besides (prefix filtering). A signature is the hash of one
    part's tokens. A class also signs at the level above if it can have partners there. Every task reduces equal signatures to
    one leader before the shuffle, so a signature that a third of all rows share has one row per task.
-3. Groups: each class is compared with the least class it shares a signature with; the components of the links found are the
-   *groups of similar documents*, already connected.
-4. Token-group matrix: only signatures shared by several groups are left. The matrix has one row per (group, token) for the
-   union of a group's tokens. For each query class and each other group that it shares a signature with, the overlap with the
-   union bounds every overlap with a member; only groups whose bound reaches the threshold are opened, and only their members
-   that share a signature with the query are compared. All links between groups are found this way, so components are exact.
+3. Token-group matrix, coarse: a class's overlap with any other class is at most its overlap with the union of all others.
+   Classes whose bound misses the threshold are not opened; that is most of those which share passages or are edited further.
+4. Groups: classes that are left and share signatures, connected, form *groups of similar documents*. A group is dealt into
+   blocks by size, and every pair of blocks is one unit of work, so no task holds a group of unbounded size.
+5. Token-group matrix, fine: within a unit, each query's overlap with the union of the others bounds it again; only queries
+   that still qualify are opened, which counts their overlaps with every set of the unit. A unit returns a spanning forest of
+   the links it finds, never all pairs; their connected components are the result.
 
 The tokens of classes with candidates are computed anew from the texts; a Bloom filter of at most ``BLOOM_BITS`` bits (fixed,
 16 MB) tells the tasks which classes are needed. When it fills up it lets more classes through; it never loses one.
@@ -45,6 +46,8 @@ from orrery.llm.shingles import mix, set_hash, shingle_sets
 BLOOM_BITS = 1 << 27
 #: Signatures that a task reduces at a time.
 CHUNK = 1 << 20
+#: Extent of a block of a group: bytes of tokens, and classes.
+BLOCK_BYTES, BLOCK_CLASSES = 8 << 20, 1024
 #: Sizes of consecutive levels grow by this factor; it must exceed den / num.
 LEVEL_RATIO = 1.5
 
@@ -146,8 +149,11 @@ def _runs(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 _SIGNATURE, _EDGE = 0, 1
 
 
-def candidate_edges(docs: DataFrame, t: Threshold) -> DataFrame:
-    """(a, b): class a shares a signature with class b < a. Every class that shares one is an a or a b."""
+def candidate_edges(source: DataFrame, t: Threshold, texts: bool) -> DataFrame:
+    """(a, b): class a shares a signature with class b < a. Every class that shares one is an a or a b.
+
+    The sets come from a column of texts, or else from one of tokens.
+    """
     names = ["kind", "key", "cls"]
 
     def emit(kind: int, key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
@@ -163,7 +169,8 @@ def candidate_edges(docs: DataFrame, t: Threshold) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, signatures, classes, held = Signer(t), [], [], 0
         for batch in batches:
-            for tokens in shingle_sets(_bytes(batch.column(0)), t.width):
+            sets = shingle_sets(_bytes(batch.column(0)), t.width) if texts else (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(0))
+            for tokens in sets:
                 if len(got := signer.sign(tokens)):
                     signatures.append(got)
                     classes.append(np.full(len(got), set_hash(tokens), dtype=np.int64))
@@ -190,8 +197,9 @@ def candidate_edges(docs: DataFrame, t: Threshold) -> DataFrame:
             pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    rows = docs.select("text").mapInArrow(sign, "kind byte, key long, cls long")
-    return rows.repartition("key").sortWithinPartitions("kind", "key", "cls").mapInArrow(link, "a long, b long")
+    rows = source.select("text" if texts else "tokens").mapInArrow(sign, "kind byte, key long, cls long")
+    pairs = rows.repartition("key").sortWithinPartitions("kind", "key", "cls").mapInArrow(link, "a long, b long")
+    return pairs.distinct()
 
 
 class Bloom:
@@ -236,91 +244,159 @@ def class_tokens(docs: DataFrame, t: Threshold, needed: Bloom) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
 
-def verified(pairs: DataFrame, tokens: DataFrame, t: Threshold) -> DataFrame:
-    """The (a, b) rows that link. The side with many partners comes second, where Spark splits skewed keys by size."""
-    left = tokens.select(F.col("cls").alias("a"), F.col("tokens").alias("left"))
-    right = tokens.select(F.col("cls").alias("b"), F.col("tokens").alias("right"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
+def shared_tokens(tokens: DataFrame) -> DataFrame:
+    """(cls, bound): how many of a class's tokens some other class has too.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                if t.den * min(len(x), len(y)) < t.num * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(t.den * common >= t.num * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+    A task counts what its own classes share; it sends each token once, with its class, or without one if it was counted.
+    """
+    names = ["counted", "key", "cls"]
+    nobody = np.int64(0)
 
-    return both.mapInArrow(run, "a long, b long")
+    def emit(counted: bool, key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), counted)), pa.array(key), pa.array(value)], names=names)
 
+    def flush(sets: list[np.ndarray], classes: list[int]) -> Iterator[pa.RecordBatch]:
+        who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        token, first, which, times = np.unique(np.concatenate(sets), return_index=True, return_inverse=True, return_counts=True)
+        cls = np.array(classes, dtype=np.int64)
+        own = np.bincount(who[times[which] > 1], minlength=len(sets))
+        yield emit(True, cls[own > 0], own[own > 0])
+        yield emit(False, token, np.where(times > 1, nobody, cls[who[first]]))
 
-def _signed(tokens: DataFrame, t: Threshold) -> DataFrame:
-    """(sig, cls) rows of the classes in ``tokens``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(t)
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, classes, held = [], [], 0
         for batch in batches:
-            got = [signer.sign(np.frombuffer(x.as_buffer(), dtype=np.uint64)) for x in batch.column(1)]
-            sizes = [len(x) for x in got]
-            if sum(sizes):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(np.repeat(np.asarray(batch.column(0)), sizes))], names=["sig", "cls"])
-
-    return tokens.select("cls", "tokens").mapInArrow(run, "sig long, cls long")
-
-
-def _token_rows(tokens: DataFrame) -> DataFrame:
-    """(cls, token) rows."""
+            for cls, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sets.append(np.frombuffer(x.as_buffer(), dtype=np.int64))
+                classes.append(cls)
+                held += len(sets[-1])
+                if held >= CHUNK:
+                    yield from flush(sets, classes)
+                    sets, classes, held = [], [], 0
+        if sets:
+            yield from flush(sets, classes)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counts(cls: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            at, which = np.unique(cls, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(which, weights=n, minlength=len(at)).astype(np.int64))], names=["cls", "n"])
+
+        def shared(key: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+            _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+            known = np.bincount(which[cls == nobody], minlength=len(times)) > 0
+            hit = ((times > 1) | known)[which] & (cls != nobody)
+            return counts(cls[hit], np.ones(int(hit.sum())))
+
+        key, cls = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            counted = np.asarray(batch.column(0))
+            k, c = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            if counted.any():
+                yield counts(k[counted], c[counted])
+            key, cls = np.concatenate((key, k[~counted])), np.concatenate((cls, c[~counted]))
+            if len(key):
+                done = key != key[-1]
+                yield shared(key[done], cls[done])
+                key, cls = key[~done], cls[~done]
+        if len(key):
+            yield shared(key, cls)
+
+    rows = tokens.select("cls", "tokens").mapInArrow(local, "counted boolean, key long, cls long")
+    rows = rows.repartition("key").sortWithinPartitions("counted", "key").mapInArrow(total, "cls long, n long")
+    return rows.groupBy("cls").agg(F.sum("n").alias("bound"))
+
+
+class Forest:
+    """Union-find over 0 .. n - 1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def unit_links(sets: list[np.ndarray], side: np.ndarray, across: bool, t: Threshold) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets; across: only of links between the two sides."""
+    sizes = np.array([len(x) for x in sets])
+    who = np.repeat(np.arange(len(sets)), sizes)
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    bound = np.bincount(who[times[token] > 1], minlength=len(sets))
+    opened = t.den * bound >= t.num * sizes
+    keep = opened[who] & (times[token] > 1)
+    token, who = token[keep], who[keep]
+    by_token = np.argsort(token, kind="stable")
+    members = who[by_token]
+    ends = np.searchsorted(token[by_token], np.arange(len(times)), side="right")
+    starts = np.concatenate(([0], ends[:-1]))
+    of = np.searchsorted(who, np.arange(len(sets) + 1))
+    forest, found = Forest(len(sets)), []
+    for x in np.flatnonzero(opened):
+        own = token[of[x] : of[x + 1]]
+        if not len(own):
+            continue
+        lengths = ends[own] - starts[own]
+        at = np.repeat(starts[own] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+        common = np.bincount(members[at], minlength=len(sets))[: x + 1]
+        linked = t.den * common >= t.num * (sizes[: x + 1] + sizes[x] - common)
+        linked[x] = False
+        if across:
+            linked &= side[: x + 1] != side[x]
+        found += [(int(x), int(y)) for y in np.flatnonzero(linked) if forest.join(int(x), int(y))]
+    return found
+
+
+def links(tokens: DataFrame, groups: DataFrame, t: Threshold) -> DataFrame:
+    """(a, b) links that connect what is linked within each group. groups: (cls, grp)."""
+    sized = cut(tokens.join(groups, "cls").select("grp", "cls", "tokens"))
+    extent = sized.groupBy("grp").agg(F.sum(F.length("tokens")).alias("bytes"), F.count("*").alias("n"))
+    blocks = F.ceil(F.greatest(F.col("bytes") / BLOCK_BYTES, F.col("n") / BLOCK_CLASSES)).cast("int")
+    dealt = sized.join(extent.select("grp", blocks.alias("blocks")), "grp").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    units = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = dealt.select("grp", "cls", "tokens", "block", units)
+    rows = rows.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(unit: tuple, classes: list[int], side: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            got = unit_links(sets, np.array(side), unit[1] != unit[2], t) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([classes[p[k]] for p in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        unit, held = None, ([], [], [])
         for batch in batches:
-            sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), [len(x) for x in sets])), pa.array(np.concatenate(sets))], names=["cls", "token"])
-
-    return tokens.select("cls", "tokens").mapInArrow(run, "cls long, token long")
-
-
-def group_links(tokens: DataFrame, groups: DataFrame, t: Threshold) -> DataFrame:
-    """Links (a, b) between classes of different groups, by the token-group matrix. groups: (cls, grp) of every class."""
-    signed = cut(_signed(tokens, t).join(groups, "cls"))
-    shared = signed.groupBy("sig").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("sig")
-    member = cut(signed.join(shared, "sig").select("sig", "cls", "grp"))
-    if member.isEmpty():
-        return member.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    # a query opens groups with smaller numbers only: each pair of groups once
-    parties = member.select("sig", F.col("grp").alias("other")).distinct()
-    queries = cut(member.join(parties, "sig").where("other < grp").select("cls", "other").distinct())
-    involved = member.select("cls", "grp").distinct()
-    rows = cut(_token_rows(tokens.join(involved.select("cls").distinct(), "cls", "left_semi")))
-    matrix = rows.join(involved, "cls").select(F.col("grp").alias("other"), "token").distinct()
-    sizes = rows.groupBy("cls").agg(F.count("*").alias("n"))
-    overlap = queries.join(rows, "cls").join(matrix, ["other", "token"]).groupBy("cls", "other").agg(F.count("*").alias("bound"))
-    opened = overlap.join(sizes, "cls").where(F.col("bound") * t.den >= F.col("n") * t.num).select("cls", "other")
-    mine = member.select("sig", F.col("cls").alias("a")).join(opened.withColumnRenamed("cls", "a"), "a")
-    theirs = member.select("sig", F.col("grp").alias("other"), F.col("cls").alias("b"))
-    pairs = mine.join(theirs, ["sig", "other"]).select("a", "b").distinct()
-    return verified(pairs, tokens, t)
+            grp, i, j, block, cls = (batch.column(k).to_pylist() for k in range(5))
+            for k, key in enumerate(zip(grp, i, j, strict=True)):
+                if key != unit:
+                    if len(held[0]) > 1:
+                        yield solve(unit, *held)
+                    unit, held = key, ([], [], [])
+                held[0].append(cls[k])
+                held[1].append(block[k])
+                held[2].append(np.frombuffer(batch.column(5)[k].as_buffer(), dtype=np.uint64))
+        if len(held[0]) > 1:
+            yield solve(unit, *held)
+
+    ordered = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "cls")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def class_components(docs: DataFrame, t: Threshold) -> DataFrame:
     """(cls, component class) of the classes that link with another one."""
-    edges = cut(candidate_edges(docs, t).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
+    edges = cut(candidate_edges(docs, t, texts=True))
     classes = cut(edges.select(F.col("a").alias("cls")).union(edges.select("b")).distinct())
     tokens = cut(class_tokens(docs, t, bloom_of(classes, classes.count())))
-    first = cut(verified(edges.groupBy("a").agg(F.min("b").alias("b")), tokens, t))
-    labels = connected_components(first).withColumnRenamed("node", "cls")
-    groups = cut(tokens.select("cls").join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("grp")))
-    more = cut(group_links(tokens, groups, t))
-    if more.isEmpty():
-        return groups.select("cls", F.col("grp").alias("component"))
-    of = [groups.select(F.col("cls").alias(x), F.col("grp").alias(f"grp_{x}")) for x in "ab"]
-    merged = more.join(of[0], "a").join(of[1], "b").select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b")).distinct()
-    joined = connected_components(merged).select(F.col("node").alias("grp"), "label")
-    return groups.join(joined, "grp", "left").select("cls", F.coalesce("label", "grp").alias("component"))
+    bounds = shared_tokens(tokens)
+    opened = tokens.join(bounds, "cls").where(F.col("bound") * t.den >= F.length("tokens") / 8 * t.num).select("cls", "tokens")
+    opened = cut(opened)
+    groups = connected_components(candidate_edges(opened, t, texts=False)).select(F.col("node").alias("cls"), F.col("label").alias("grp"))
+    found = connected_components(links(opened, groups, t))
+    return found.select(F.col("node").alias("cls"), F.col("label").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, t: Threshold = NEAR_DUPLICATES) -> DataFrame:
