@@ -274,7 +274,9 @@ def model_catalog(task: str | None = None, **filters: bool) -> list[dict]:
     """The registered specifications, by task and capabilities."""
     rows = []
     for name, cls in sorted(REGISTRY.items()):
-        c = Capabilities(cls.task, cls.sparse, cls.missing, cls.weights, cls.partial, cls.probabilistic)
+        # composites take theirs from their steps
+        own = [getattr(cls, k) for k in ("task", "sparse", "missing", "weights", "partial", "probabilistic")]
+        c = Capabilities(*["composition" if i == 0 else False if isinstance(v, property) else v for i, v in enumerate(own)] if isinstance(own[0], property) else own)
         if (task is None or c.task == task) and all(getattr(c, k) == v for k, v in filters.items()):
             rows.append({"name": name, **{f.name: getattr(c, f.name) for f in fields(c)}})
     return rows
