@@ -246,7 +246,10 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
     # bucket 0 has the largest ids; null ids form the last one. No bucket is empty, for the bounds are ids.
     number = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan")))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", number.alias("_id"))
-    keyed = Bucketizer(splits=bounds, inputCol="_id", outputCol="_b", handleInvalid="keep").transform(keyed)
+    if inner:
+        keyed = Bucketizer(splits=bounds, inputCol="_id", outputCol="_b", handleInvalid="keep").transform(keyed)
+    else:
+        keyed = keyed.withColumn("_b", F.lit(0.0))
     last = len(bounds) - 1
     bucket = F.when(F.col("doc_id").isNull(), last).otherwise(last - 1 - F.col("_b")).cast("int")
     keyed = keyed.withColumn("bucket", bucket).select("doc_id", "text", "bucket")
