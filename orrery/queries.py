@@ -365,6 +365,35 @@ def model_catalog(spark, d):
     return catalog_df(spark)
 
 
+_PDP = "(SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem)"
+
+
+@_query(f"SELECT v::DOUBLE AS value, round(b + a * v, 4) AS prediction FROM {_PDP}, (SELECT unnest([1.0, 10.0, 25.0, 50.0]) AS v)")
+def partial_dependence(spark, d):
+    from orrery.plotdata import partial_dependence as pdp
+
+    data = Dataset(_lines(spark, d), ("l_quantity",), "l_extendedprice")
+    return _r(pdp(LinearRegression().fit(data), data, "l_quantity", [1.0, 10.0, 25.0, 50.0]))
+
+
+@_query("SELECT 1 AS id, 'Standardize' AS kind, '0' AS inputs UNION ALL SELECT 2, 'MinMaxScale', '1' UNION ALL SELECT 3, 'RidgeRegression', '2'")
+def pipeline_graph(spark, d):
+    from orrery.plans.graph import graph_data
+
+    rows = graph_data(Chain(Standardize(), MinMaxScale(), RidgeRegression()))
+    return spark.createDataFrame([(r["id"], r["kind"], ",".join(map(str, r["inputs"]))) for r in rows], "id int, kind string, inputs string")
+
+
+@_query("SELECT o_orderkey, round((o_totalprice - min(o_totalprice) OVER ()) / (max(o_totalprice) OVER () - min(o_totalprice) OVER ()), 6) + 0.0 AS o_totalprice FROM orders")
+def fused_affine_steps(spark, d):
+    from orrery.plans.graph import fuse
+
+    df = _read(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    fused = fuse(Chain(Standardize(), MinMaxScale()).fit(df, features=["o_totalprice"]))
+    assert len(fused.steps) == 1
+    return _r(fused.transform(df), 6)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
