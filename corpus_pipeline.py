@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import jaccard, langid, mixing, packing, pii
-from orrery.llm.common import ensure_checkpoint_dir, read
+from orrery.llm.common import cut, ensure_checkpoint_dir, read, release
+
+#: Ids of dropped documents that are broadcast at most (16 MB).
+BROADCAST_IDS = 2_000_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +28,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A row is kept if its id is its component's; of repeated rows of that id the first by text stays. Rows without an id stay.
     """
-    found = jaccard.jaccard_components(docs)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    found = cut(jaccard.jaccard_components(docs))
+    release(spark)
+    dropped = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
+    if dropped.count() <= BROADCAST_IDS:  # else texts are shuffled to the ids
+        dropped = F.broadcast(dropped)
     kept = docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():

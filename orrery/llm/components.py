@@ -8,21 +8,36 @@ from pyspark.sql import functions as F
 from orrery.llm.common import cut
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, label) with label <= node -> the end of each node's chain of labels; chains are halved in every round."""
+    while True:
+        up = parents.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        least = F.coalesce("next", "label")
+        new = cut(parents.join(up, "label", "left").select("node", least.alias("label"), (least != F.col("label")).alias("changed")))
+        parents = new.drop("changed")
+        if not new.where("changed").count():
+            return parents
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) rows -> (node, label), label being the smallest node that is reachable.
 
-    Each round takes the least label among a node's neighbours and then the label of its label, so paths shrink by half;
-    every round is checkpointed, and nothing but the count of changes reaches the driver.
+    In each round every node points to its least neighbour, all nodes of such a tree become its root, and the edges are contracted
+    to edges between roots; those within a tree vanish, so rounds get smaller fast. All steps are checkpointed, and only counts
+    reach the driver.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    labels = None
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = labels.join(near, "node", "left").join(far, "label", "left")
-        least = F.least("label", F.coalesce("near", "label"), F.coalesce("far", "label"))
-        new = cut(new.select("node", least.alias("label"), (least != F.col("label")).alias("changed")))
-        changed = new.where("changed").count()
-        labels = new.drop("changed")
-        if not changed:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("e")).select("e.*")
+        roots = _roots(cut(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("label"))))
+        if labels is None:
+            labels = roots
+        else:
+            up = roots.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            labels = cut(labels.join(up, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+        of = [roots.select(F.col("node").alias(x), F.col("label").alias(f"root_{x}")) for x in "ab"]
+        between = edges.join(of[0], "a").join(of[1], "b").where("root_a <> root_b")
+        edges = cut(between.select(F.greatest("root_a", "root_b").alias("a"), F.least("root_a", "root_b").alias("b")).distinct())
+        if edges.isEmpty():
             return labels

@@ -27,7 +27,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import read
+from orrery.llm.common import read, small
 from orrery.llm.shingles import mix
 
 WINDOW = 16
@@ -85,7 +85,7 @@ def fit_rarity(docs: DataFrame) -> Rarity:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BINS, dtype=np.int64)
-        for batch in batches:
+        for batch in small(batches):
             for group in _groups([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()]):
                 data, starts, sizes = _joined(group)
                 bins = window_entropies(data)
@@ -225,7 +225,7 @@ def digest_documents(docs: DataFrame, rarity: Rarity | None = None) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(rarity or fit_rarity(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d.text() for d in digests(texts, shared.value)], pa.string())], names=["doc_id", "fingerprint"])
 
@@ -298,7 +298,7 @@ def digest_edits(docs: DataFrame, rarity: Rarity | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity, waiting = shared.value, []
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             donors = batch.column(2).to_pylist()
             step = 256

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import read
+from orrery.llm.common import read, small
 
 RATE = 8000
 BLOCK = 1024
@@ -611,7 +611,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
     """docs with doc_id and text -> doc_id, n_bytes (of the text), media (a FLAC stream of the padded text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             payloads = [padded(t) for t in texts]
             for lo, hi in _groups(payloads):
@@ -631,7 +631,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     names = ["doc_id", "block", "sample_offset", "n_samples", "byte_offset", "pcm"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, streams = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in _groups(streams):
                 rows = []
@@ -649,7 +649,7 @@ def media_digests(media: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             streams = batch.column(2).to_pylist()
             for lo, hi in _groups(streams):
                 part, got = streams[lo:hi], [x for _, x, _ in decode_streams(streams[lo:hi])]

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut, read
+from orrery.llm.common import cut, read, release, small
 from orrery.llm.components import connected_components
 from orrery.llm.shingles import mix, set_hash, shingle_sets
 
@@ -124,7 +124,7 @@ def document_classes(docs: DataFrame, t: Threshold) -> DataFrame:
     """(doc_id, n_shingles, cls); cls is the hash of the set, null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sizes, classes = [], []
             for tokens in shingle_sets(_bytes(batch.column(1)), t.width):
                 sizes.append(len(tokens))
@@ -168,7 +168,7 @@ def candidate_edges(source: DataFrame, t: Threshold, texts: bool) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, signatures, classes, held = Signer(t), [], [], 0
-        for batch in batches:
+        for batch in small(batches):
             sets = shingle_sets(_bytes(batch.column(0)), t.width) if texts else (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(0))
             for tokens in sets:
                 if len(got := signer.sign(tokens)):
@@ -227,12 +227,12 @@ def bloom_of(classes: DataFrame, count: int) -> Bloom:
 
 
 def class_tokens(docs: DataFrame, t: Threshold, needed: Bloom) -> DataFrame:
-    """(cls, tokens) of the classes in the filter, one row each; tokens are sorted little-endian 64-bit numbers."""
+    """(cls, tokens) of the classes in the filter, one row for each task that has them; tokens are sorted little-endian 64-bit numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(needed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in small(batches):
             classes, sets = [], []
             for tokens in shingle_sets(_bytes(batch.column(0)), t.width):
                 if len(tokens) and (cls := set_hash(tokens)) not in seen and shared.value.may_hold(cls):
@@ -241,27 +241,28 @@ def class_tokens(docs: DataFrame, t: Threshold, needed: Bloom) -> DataFrame:
                     sets.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+    return docs.select("text").mapInArrow(run, "cls long, tokens binary")
 
 
 def shared_tokens(tokens: DataFrame) -> DataFrame:
-    """(cls, bound): how many of a class's tokens some other class has too.
+    """(cls, bound, n): at least as many as a class has tokens that some other class has too, and its size.
 
-    A task counts what its own classes share; it sends each token once, with its class, or without one if it was counted.
+    A task counts what its own classes share; it sends each token once, with its class, or without one if it was counted. A
+    class that several tasks have shares its tokens with itself, which only raises its bound.
     """
-    names = ["counted", "key", "cls"]
+    names = ["counted", "key", "cls", "n"]
     nobody = np.int64(0)
 
-    def emit(counted: bool, key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), counted)), pa.array(key), pa.array(value)], names=names)
+    def emit(counted: bool, key: np.ndarray, value: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), counted)), pa.array(key), pa.array(value), pa.array(n.astype(np.int32))], names=names)
 
     def flush(sets: list[np.ndarray], classes: list[int]) -> Iterator[pa.RecordBatch]:
         who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         token, first, which, times = np.unique(np.concatenate(sets), return_index=True, return_inverse=True, return_counts=True)
         cls = np.array(classes, dtype=np.int64)
         own = np.bincount(who[times[which] > 1], minlength=len(sets))
-        yield emit(True, cls[own > 0], own[own > 0])
-        yield emit(False, token, np.where(times > 1, nobody, cls[who[first]]))
+        yield emit(True, cls, own, np.array([len(x) for x in sets]))
+        yield emit(False, token, np.where(times > 1, nobody, cls[who[first]]), np.zeros(len(token)))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, classes, held = [], [], 0
@@ -277,22 +278,24 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
             yield from flush(sets, classes)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counts(cls: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        def counts(cls: np.ndarray, shared: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             at, which = np.unique(cls, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(which, weights=n, minlength=len(at)).astype(np.int64))], names=["cls", "n"])
+            most = np.zeros(len(at), dtype=np.int64)
+            np.maximum.at(most, which, n)
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(which, weights=shared, minlength=len(at)).astype(np.int64)), pa.array(most)], names=["cls", "bound", "n"])
 
         def shared(key: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
             _, which, times = np.unique(key, return_inverse=True, return_counts=True)
             known = np.bincount(which[cls == nobody], minlength=len(times)) > 0
             hit = ((times > 1) | known)[which] & (cls != nobody)
-            return counts(cls[hit], np.ones(int(hit.sum())))
+            return counts(cls[hit], np.ones(int(hit.sum())), np.zeros(int(hit.sum()), dtype=np.int64))
 
         key, cls = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in batches:
             counted = np.asarray(batch.column(0))
             k, c = np.asarray(batch.column(1)), np.asarray(batch.column(2))
             if counted.any():
-                yield counts(k[counted], c[counted])
+                yield counts(k[counted], c[counted], np.asarray(batch.column(3))[counted])
             key, cls = np.concatenate((key, k[~counted])), np.concatenate((cls, c[~counted]))
             if len(key):
                 done = key != key[-1]
@@ -301,9 +304,9 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
         if len(key):
             yield shared(key, cls)
 
-    rows = tokens.select("cls", "tokens").mapInArrow(local, "counted boolean, key long, cls long")
-    rows = rows.repartition("key").sortWithinPartitions("counted", "key").mapInArrow(total, "cls long, n long")
-    return rows.groupBy("cls").agg(F.sum("n").alias("bound"))
+    rows = tokens.select("cls", "tokens").mapInArrow(local, "counted boolean, key long, cls long, n int")
+    rows = rows.repartition("key").sortWithinPartitions("counted", "key").mapInArrow(total, "cls long, bound long, n long")
+    return rows.groupBy("cls").agg(F.sum("bound").alias("bound"), F.max("n").alias("n"))
 
 
 class Forest:
@@ -389,13 +392,15 @@ def links(tokens: DataFrame, groups: DataFrame, t: Threshold) -> DataFrame:
 def class_components(docs: DataFrame, t: Threshold) -> DataFrame:
     """(cls, component class) of the classes that link with another one."""
     edges = cut(candidate_edges(docs, t, texts=True))
+    release(docs.sparkSession)
     classes = cut(edges.select(F.col("a").alias("cls")).union(edges.select("b")).distinct())
-    tokens = cut(class_tokens(docs, t, bloom_of(classes, classes.count())))
-    bounds = shared_tokens(tokens)
-    opened = tokens.join(bounds, "cls").where(F.col("bound") * t.den >= F.length("tokens") / 8 * t.num).select("cls", "tokens")
-    opened = cut(opened)
-    groups = connected_components(candidate_edges(opened, t, texts=False)).select(F.col("node").alias("cls"), F.col("label").alias("grp"))
-    found = connected_components(links(opened, groups, t))
+    bounds = shared_tokens(class_tokens(docs, t, bloom_of(classes, classes.count())))
+    opened = cut(bounds.where(F.col("bound") * t.den >= F.col("n") * t.num).select("cls"))
+    release(docs.sparkSession)
+    again = class_tokens(docs, t, bloom_of(opened, opened.count()))
+    tokens = cut(again.join(opened, "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")))
+    groups = connected_components(candidate_edges(tokens, t, texts=False)).select(F.col("node").alias("cls"), F.col("label").alias("grp"))
+    found = connected_components(links(tokens, groups, t))
     return found.select(F.col("node").alias("cls"), F.col("label").alias("component"))
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import held_out, read
+from orrery.llm.common import held_out, read, small
 from orrery.llm.shingles import mix
 
 UNKNOWN = "und"
@@ -224,7 +224,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None = None) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model or fit_languages(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             lang, score, rejected = shared.value.predict([t or "" for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
@@ -238,7 +238,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> Data
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rejected = shared.value.predict([t or "" for t in batch.column(at).to_pylist()])[2]
             yield batch.filter(pa.array(~rejected))
 

@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut, read
+from orrery.llm.common import cut, read, small
 
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Punctuation that may follow a word; the tokenizer always separates it from letters before it.
 _TAIL = ".,;:!?|#$%&*"
 _RUN_COLUMNS = ("length", "rank", "count", "bin", "offset")
@@ -114,7 +114,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, task = word_ids(vocabulary_path(vocabulary)), Counter(), TaskContext.get().partitionId()
         step = 4 * capacity
-        for batch in batches:
+        for batch in small(batches):
             rows: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = words.text(text.as_py() or "") + END_ID.to_bytes(4, "little")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import read
+from orrery.llm.common import read, small
 
 ROUNDS = 8
 #: The query's key. A real run passes its own from a secret store.
@@ -313,7 +313,7 @@ def pseudonymise_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """One row per document: doc_id, text (with pseudonyms), n_values, kinds (found kinds, sorted, comma-joined)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             got = [pseudonymise(t, key) for t in batch.column(1).to_pylist()]
             columns = [pa.array([t for t, _ in got], pa.string()), pa.array([sum(c.values()) for _, c in got], pa.int64()), pa.array([",".join(sorted(c)) for _, c in got], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "text", "n_values", "kinds"])
@@ -327,7 +327,7 @@ def replace_texts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             columns = dict(zip(names, batch.columns, strict=True))
             texts = [pseudonymise(t, key)[0] for t in columns["text"].to_pylist()]
             columns["text"] = pa.array(texts, columns["text"].type)
