@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import read
+from orrery.llm.common import read, small
 
 #: Labelled pages that are learned from at most.
 SAMPLE = 2000
@@ -205,13 +205,21 @@ def main_text(page: str, weights: Weights) -> str:
 
 
 def fit_weights(pages: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Learns from at most ``sample`` pages with one marked part: the first by hash of their ids."""
-    marked = F.regexp_count(F.lower("html"), F.lit(r"<(article|main)[\s>]")) == 1
-    labelled = pages.where(marked).select("page_id", "html").orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(sample)
+    """Learns from about ``sample`` pages with one marked part at most: the first by hash of their ids.
+
+    Only ids are sorted, and only those below a hash bound that leaves about twice as many as are needed.
+    """
+    marked = pages.where(F.regexp_count(F.lower("html"), F.lit(r"<(article|main)[\s>]")) == 1)
+    place = F.pmod(F.xxhash64("page_id"), F.lit(1 << 30))
+    known_ids = marked.select(F.col("page_id").cast("long").alias("page_id")).where("page_id is not null")
+    share = min(1.0, 2.0 * sample / max(known_ids.count(), 1))
+    ids = known_ids.where(place <= int(share * (1 << 30))).orderBy(place, "page_id").limit(sample).collect()
+    chosen = pages.sparkSession.createDataFrame([(i,) for i in sorted({r["page_id"] for r in ids})], "page_id long")
+    labelled = marked.join(F.broadcast(chosen), "page_id", "left_semi").select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in small(batches):
             for page in batch.column(0).to_pylist():
                 for t in tokens(page):
                     if t.tag not in ("article", "main"):
@@ -220,7 +228,7 @@ def fit_weights(pages: DataFrame, sample: int = SAMPLE) -> Weights:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([counts[r] for r in rows], pa.int64())], names=["what", "name", "inside", "n"])
 
     known = INLINE | APART | VOID | frozenset("p div ul ol li dl dt dd table tr td th thead tbody h1 h2 h3 h4 h5 h6 section blockquote pre figure figcaption html body".split())
-    counted = labelled.select("html").mapInArrow(run, "what string, name string, inside boolean, n long")
+    counted = labelled.mapInArrow(run, "what string, name string, inside boolean, n long")
     counted = counted.withColumn("name", F.when((F.col("what") == "word") | F.col("name").isin(sorted(known)), F.col("name")).otherwise("other"))
     tags: dict[str, list[int]] = {}
     words: dict[str, list[int]] = {}
@@ -234,7 +242,7 @@ def extract_pages(pages: DataFrame, weights: Weights | None = None) -> DataFrame
     shared = pages.sparkSession.sparkContext.broadcast(weights or fit_weights(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [main_text(p or "", shared.value) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
