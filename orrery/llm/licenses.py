@@ -1,7 +1,8 @@
 """License scans by ordered signature rules, with DataFrame operations only.
 
-A text is lower-cased and reduced to its words. A prefilter of key words lets most texts pass untouched. For the rest each rule
-(label, priority, key word, regular expression over the words) is tried if its key word occurs; matches are intervals of words.
+A text is lower-cased and reduced to its words. A prefilter lets most texts pass unscanned: key words over those words, of which
+every match of a rule holds one. For the rest each rule (label, priority, key words, regular expression over the words) is tried if
+one of its key words occurs; they are derived from the expression, one for each alternative. Matches are intervals of words.
 An interval that lies within one of a rule that goes first (smaller priority number; of equals a strictly longer interval) is
 suppressed. The labels of what is left, and those of the base phrases, are the text's labels; its score is that of its most
 reliable detection. Everything happens within a row: no shuffle, at any size.
@@ -16,7 +17,9 @@ phrase all count; repeated rows are kept; an empty table gives no rows; other co
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import dataclass
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,100 +28,97 @@ from orrery.llm.common import read, text_or_empty
 
 #: Between words: every ASCII character but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
-#: A text without any of these is not scanned.
-PREFILTER = ("licen", "copyright", "copyleft", "rights reserved", "public domain", "spdx", "creativecommons", "creative commons", "gpl", "warranty", "unlicense", "redistribut")
 
-#: Label, key word, name in running text, identifier words. Names and identifiers are regular expressions over
+#: Label, name in running text, identifier words. Names and identifiers are regular expressions over
 #: words that are separated by one space.
 LICENSES = (
-    ("mit", "mit", "mit", "mit"),
-    ("mit-0", "mit", "mit no attribution", "mit 0"),
-    ("apache-1.0", "apache", "apache(?: software)?", "apache 1 0"),
-    ("apache-1.1", "apache", "apache(?: software)?", "apache 1 1"),
-    ("apache-2.0", "apache", "apache(?: software)?", "apache 2(?: 0)?"),
-    ("gpl-1.0", "general", "gnu general public", "gpl 1 0(?: only| or later)?"),
-    ("gpl-2.0", "general", "(?:gnu )?general public", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3.0", "general", "(?:gnu )?general public", "gpl 3 0(?: only| or later)?"),
-    ("lgpl-2.0", "general", "(?:gnu )?library general public", "lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "general", "(?:gnu )?lesser general public", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3.0", "general", "(?:gnu )?lesser general public", "lgpl 3 0(?: only| or later)?"),
-    ("agpl-1.0", "affero", "affero general public", "agpl 1 0(?: only| or later)?"),
-    ("agpl-3.0", "affero", "(?:gnu )?affero general public", "agpl 3 0(?: only| or later)?"),
-    ("gfdl-1.1", "documentation", "gnu free documentation", "gfdl 1 1(?: only| or later)?"),
-    ("gfdl-1.2", "documentation", "gnu free documentation", "gfdl 1 2(?: only| or later)?"),
-    ("gfdl-1.3", "documentation", "gnu free documentation", "gfdl 1 3(?: only| or later)?"),
-    ("bsd-1-clause", "bsd", "(?:bsd 1 clause|one clause bsd)", "bsd 1 clause"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", "bsd 2 clause(?: patent| views)?"),
-    ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", "bsd 3 clause(?: clear)?"),
-    ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)", "bsd 4 clause(?: uc)?"),
-    ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause|0 clause bsd)", "0bsd"),
-    ("isc", "isc", "(?:isc|internet systems consortium)", "isc"),
-    ("mpl-1.0", "mozilla", "mozilla public", "mpl 1 0"),
-    ("mpl-1.1", "mozilla", "mozilla public", "mpl 1 1"),
-    ("mpl-2.0", "mozilla", "mozilla public", "mpl 2 0(?: no copyleft exception)?"),
-    ("epl-1.0", "eclipse", "eclipse public", "epl 1 0"),
-    ("epl-2.0", "eclipse", "eclipse public", "epl 2 0"),
-    ("eupl-1.1", "european", "european union public", "eupl 1 1"),
-    ("eupl-1.2", "european", "european union public", "eupl 1 2"),
-    ("cddl-1.0", "common", "common development and distribution", "cddl 1 0"),
-    ("cddl-1.1", "common", "common development and distribution", "cddl 1 1"),
-    ("cpl-1.0", "common", "common public", "cpl 1 0"),
-    ("cpal-1.0", "common", "common public attribution", "cpal 1 0"),
-    ("artistic-1.0", "artistic", "(?:perl )?artistic", "artistic 1 0(?: perl| cl8)?"),
-    ("artistic-2.0", "artistic", "artistic", "artistic 2 0"),
-    ("bsl-1.0", "boost", "boost software", "bsl 1 0"),
-    ("busl-1.1", "business", "business source", "busl 1 1"),
-    ("zlib", "zlib", "(?:zlib|zlib libpng)", "zlib"),
-    ("libpng", "libpng", "libpng", "libpng(?: 2 0)?"),
-    ("ncsa", "illinois", "university of illinois(?: ncsa)? open source", "ncsa"),
-    ("x11", "x11", "(?:x11|x consortium)", "x11"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("python-2.0", "python", "python software foundation", "(?:python|psf) 2 0"),
-    ("php-3.01", "php", "php", "php 3 0 1"),
-    ("ruby", "ruby", "ruby", "ruby"),
-    ("openssl", "openssl", "(?:openssl|openssl ssleay)", "openssl"),
-    ("ofl-1.0", "font", "(?:sil )?open font", "ofl 1 0"),
-    ("ofl-1.1", "font", "(?:sil )?open font", "ofl 1 1"),
-    ("ms-pl", "microsoft", "microsoft public", "ms pl"),
-    ("ms-rl", "microsoft", "microsoft reciprocal", "ms rl"),
-    ("afl-3.0", "academic", "academic free", "afl 3 0"),
-    ("osl-3.0", "open", "open software", "osl 3 0"),
-    ("odbl-1.0", "database", "open(?: data commons open)? database", "odbl 1 0"),
-    ("odc-by-1.0", "attribution", "open data commons attribution", "odc by 1 0"),
-    ("pddl-1.0", "public", "public domain dedication and", "pddl 1 0"),
-    ("wtfpl", "fuck", "do what the fuck you want to public", "wtfpl"),
-    ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("cc0-1.0", "cc0", "(?:cc0|creative commons zero)(?: universal)?", "cc0 1 0"),
-    ("cc-by-2.0", "commons", "creative commons attribution", "cc by 2 0"),
-    ("cc-by-3.0", "commons", "creative commons attribution", "cc by 3 0"),
-    ("cc-by-4.0", "commons", "creative commons attribution(?: international)?", "cc by 4 0"),
-    ("cc-by-sa-2.0", "commons", "creative commons attribution share ?alike", "cc by sa 2 0"),
-    ("cc-by-sa-3.0", "commons", "creative commons attribution share ?alike", "cc by sa 3 0"),
-    ("cc-by-sa-4.0", "commons", "creative commons attribution share ?alike(?: international)?", "cc by sa 4 0"),
-    ("cc-by-nd-4.0", "commons", "creative commons attribution no ?deriv(?:ative)?s", "cc by nd 4 0"),
-    ("cc-by-nc-4.0", "commons", "creative commons attribution non ?commercial", "cc by nc 4 0"),
-    ("cc-by-nc-sa-4.0", "commons", "creative commons attribution non ?commercial share ?alike", "cc by nc sa 4 0"),
-    ("cc-by-nc-nd-4.0", "commons", "creative commons attribution non ?commercial no ?deriv(?:ative)?s", "cc by nc nd 4 0"),
+    ("mit", "mit", "mit"),
+    ("mit-0", "mit no attribution", "mit 0"),
+    ("apache-1.0", "apache(?: software)?", "apache 1 0"),
+    ("apache-1.1", "apache(?: software)?", "apache 1 1"),
+    ("apache-2.0", "apache(?: software)?", "apache 2(?: 0)?"),
+    ("gpl-1.0", "gnu general public", "gpl 1 0(?: only| or later)?"),
+    ("gpl-2.0", "(?:gnu )?general public", "gpl 2 0(?: only| or later)?"),
+    ("gpl-3.0", "(?:gnu )?general public", "gpl 3 0(?: only| or later)?"),
+    ("lgpl-2.0", "(?:gnu )?library general public", "lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.1", "(?:gnu )?lesser general public", "lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3.0", "(?:gnu )?lesser general public", "lgpl 3 0(?: only| or later)?"),
+    ("agpl-1.0", "affero general public", "agpl 1 0(?: only| or later)?"),
+    ("agpl-3.0", "(?:gnu )?affero general public", "agpl 3 0(?: only| or later)?"),
+    ("gfdl-1.1", "gnu free documentation", "gfdl 1 1(?: only| or later)?"),
+    ("gfdl-1.2", "gnu free documentation", "gfdl 1 2(?: only| or later)?"),
+    ("gfdl-1.3", "gnu free documentation", "gfdl 1 3(?: only| or later)?"),
+    ("bsd-1-clause", "(?:bsd 1 clause|one clause bsd)", "bsd 1 clause"),
+    ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", "bsd 2 clause(?: patent| views)?"),
+    ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", "bsd 3 clause(?: clear)?"),
+    ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)", "bsd 4 clause(?: uc)?"),
+    ("0bsd", "(?:zero clause bsd|bsd zero clause|0 clause bsd)", "0bsd"),
+    ("isc", "(?:isc|internet systems consortium)", "isc"),
+    ("mpl-1.0", "mozilla public", "mpl 1 0"),
+    ("mpl-1.1", "mozilla public", "mpl 1 1"),
+    ("mpl-2.0", "mozilla public", "mpl 2 0(?: no copyleft exception)?"),
+    ("epl-1.0", "eclipse public", "epl 1 0"),
+    ("epl-2.0", "eclipse public", "epl 2 0"),
+    ("eupl-1.1", "european union public", "eupl 1 1"),
+    ("eupl-1.2", "european union public", "eupl 1 2"),
+    ("cddl-1.0", "common development and distribution", "cddl 1 0"),
+    ("cddl-1.1", "common development and distribution", "cddl 1 1"),
+    ("cpl-1.0", "common public", "cpl 1 0"),
+    ("cpal-1.0", "common public attribution", "cpal 1 0"),
+    ("artistic-1.0", "(?:perl )?artistic", "artistic 1 0(?: perl| cl8)?"),
+    ("artistic-2.0", "artistic", "artistic 2 0"),
+    ("bsl-1.0", "boost software", "bsl 1 0"),
+    ("busl-1.1", "business source", "busl 1 1"),
+    ("zlib", "(?:zlib|zlib libpng)", "zlib"),
+    ("libpng", "libpng", "libpng(?: 2 0)?"),
+    ("ncsa", "university of illinois(?: ncsa)? open source", "ncsa"),
+    ("x11", "(?:x11|x consortium)", "x11"),
+    ("postgresql", "postgresql", "postgresql"),
+    ("python-2.0", "python software foundation", "(?:python|psf) 2 0"),
+    ("php-3.01", "php", "php 3 0 1"),
+    ("ruby", "ruby", "ruby"),
+    ("openssl", "(?:openssl|openssl ssleay)", "openssl"),
+    ("ofl-1.0", "(?:sil )?open font", "ofl 1 0"),
+    ("ofl-1.1", "(?:sil )?open font", "ofl 1 1"),
+    ("ms-pl", "microsoft public", "ms pl"),
+    ("ms-rl", "microsoft reciprocal", "ms rl"),
+    ("afl-3.0", "academic free", "afl 3 0"),
+    ("osl-3.0", "open software", "osl 3 0"),
+    ("odbl-1.0", "open(?: data commons open)? database", "odbl 1 0"),
+    ("odc-by-1.0", "open data commons attribution", "odc by 1 0"),
+    ("pddl-1.0", "public domain dedication and", "pddl 1 0"),
+    ("wtfpl", "do what the fuck you want to public", "wtfpl"),
+    ("unlicense", "unlicense", "unlicense"),
+    ("cc0-1.0", "(?:cc0|creative commons zero)(?: universal)?", "cc0 1 0"),
+    ("cc-by-2.0", "creative commons attribution", "cc by 2 0"),
+    ("cc-by-3.0", "creative commons attribution", "cc by 3 0"),
+    ("cc-by-4.0", "creative commons attribution(?: international)?", "cc by 4 0"),
+    ("cc-by-sa-2.0", "creative commons attribution share ?alike", "cc by sa 2 0"),
+    ("cc-by-sa-3.0", "creative commons attribution share ?alike", "cc by sa 3 0"),
+    ("cc-by-sa-4.0", "creative commons attribution share ?alike(?: international)?", "cc by sa 4 0"),
+    ("cc-by-nd-4.0", "creative commons attribution no ?deriv(?:ative)?s", "cc by nd 4 0"),
+    ("cc-by-nc-4.0", "creative commons attribution non ?commercial", "cc by nc 4 0"),
+    ("cc-by-nc-sa-4.0", "creative commons attribution non ?commercial share ?alike", "cc by nc sa 4 0"),
+    ("cc-by-nc-nd-4.0", "creative commons attribution non ?commercial no ?deriv(?:ative)?s", "cc by nc nd 4 0"),
 )
-#: Label, key word, expression, priority, score of rules that fit no form.
+#: Label, expression, priority, score of rules that fit no form.
 OTHERS = (
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software", 2, 0.95),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 2, 0.95),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 2, 0.9),
-    ("zlib", "origin", "the origin of this software must not be misrepresented", 2, 0.9),
-    ("gpl", "terms", "under the terms of the gnu general public license as published by the free software foundation", 2, 0.95),
-    ("lgpl", "lesser", "(?:gnu )?lesser general public license", 3, 0.9),
-    ("agpl", "affero", "(?:gnu )?affero general public license", 3, 0.9),
-    ("gpl", "gpl", "(?:gnu )?gpl(?:v[0-9]| v ?[0-9]| version [0-9])?", 5, 0.6),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl(?:v[0-9]| v ?[0-9]| version [0-9])?", 5, 0.6),
-    ("agpl", "agpl", "(?:gnu )?agpl(?:v[0-9]| v ?[0-9]| version [0-9])?", 5, 0.6),
-    ("public-domain", "domain", "(?:released into|dedicated to|placed in|in) the public domain", 3, 0.8),
-    ("all-rights-reserved", "reserved", "all rights reserved", 4, 0.7),
-    ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}", 5, 0.4),
-    ("no-warranty", "warranty", "without warranty of any kind", 5, 0.3),
-    ("proprietary", "proprietary", "proprietary and confidential", 3, 0.8),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", 2, 0.95),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 2, 0.95),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", 2, 0.9),
+    ("zlib", "the origin of this software must not be misrepresented", 2, 0.9),
+    ("gpl", "under the terms of the gnu general public license as published by the free software foundation", 2, 0.95),
+    ("lgpl", "(?:gnu )?lesser general public license", 3, 0.9),
+    ("agpl", "(?:gnu )?affero general public license", 3, 0.9),
+    ("gpl", "(?:gnu )?gpl(?:v[0-9]| v ?[0-9]| version [0-9])?", 5, 0.6),
+    ("lgpl", "(?:gnu )?lgpl(?:v[0-9]| v ?[0-9]| version [0-9])?", 5, 0.6),
+    ("agpl", "(?:gnu )?agpl(?:v[0-9]| v ?[0-9]| version [0-9])?", 5, 0.6),
+    ("public-domain", "(?:released into|dedicated to|placed in|in) the public domain", 3, 0.8),
+    ("all-rights-reserved", "all rights reserved", 4, 0.7),
+    ("copyright", "copyright(?: c)? (?:19|20)[0-9]{2}", 5, 0.4),
+    ("no-warranty", "without warranty of any kind", 5, 0.3),
+    ("proprietary", "proprietary and confidential", 3, 0.8),
 )
 
 
@@ -126,19 +126,52 @@ OTHERS = (
 class Rule:
     label: str
     priority: int
-    keyword: str
+    keywords: tuple[str, ...]  # every match holds one of them
     pattern: str  # begins with the space before its first word and looks at the space after its last one
     score: float
 
+    @property
+    def keyword(self) -> str:
+        """What every match holds: the key word, or nothing if there are several."""
+        return self.keywords[0] if len(self.keywords) == 1 else ""
+
+
+def _needed(items: Iterable) -> list[frozenset[str]]:
+    """Sets of literals of a parsed expression; every match holds at least one literal of each set."""
+    out, run = [], []
+    for op, value in [*items, (None, None)]:
+        if op is _parser.LITERAL:
+            run.append((op, value))
+            continue
+        if run:
+            out.append(frozenset(["".join(chr(c) for _, c in run)]))
+        if op is _parser.SUBPATTERN:
+            out += _needed(value[3])
+        elif op is _parser.BRANCH:
+            # the parser moves what all branches begin with before them
+            best = [_best(_needed([*run, *x])) for x in value[1]]
+            if all(best):
+                out.append(frozenset().union(*best))
+        elif op is _parser.MAX_REPEAT and value[0] > 0:
+            out += _needed(value[2])
+        run = []
+    return out
+
+
+def _best(sets: list[frozenset[str]]) -> frozenset[str]:
+    """The set whose shortest literal is the longest; of equals the first."""
+    return max(sets, key=lambda s: min(map(len, s)), default=frozenset())
+
 
-def _rule(label: str, priority: int, keyword: str, words: str, score: float) -> Rule:
-    return Rule(label, priority, keyword, f" (?:{words})(?= )", score)
+def _rule(label: str, priority: int, key: str, words: str, score: float) -> Rule:
+    """``key`` is the part of ``words`` that the key words are taken from; it stands in every match."""
+    return Rule(label, priority, tuple(sorted(_best(_needed(_parser.parse(key))))), f" (?:{words})(?= )", score)
 
 
 def rules() -> list[Rule]:
     """All rules, in order."""
     out = []
-    for label, keyword, name, identifier in LICENSES:
+    for label, name, identifier in LICENSES:
         digits = [d for d in label.split("-")[-1].split(".") if d.isdigit()] if "." in label else []
         major, *minor = digits or [""]
         number = f"{major}(?: {minor[0]})?" if digits and minor and minor[0] == "0" else " ".join(digits)
@@ -146,16 +179,29 @@ def rules() -> list[Rule]:
         tail = f" licen[sc]e(?: {version})" if digits else " licen[sc]e"
         full = f"{name}(?: public)?{tail}"
         out += [
-            _rule(label, 1, "spdx", f"spdx licen[sc]e identifier {identifier}", 1.0),
-            _rule(label, 2, keyword, f"(?:licensed|released|distributed|available|published|provided|covered|use) under (?:the )?(?:terms of (?:the )?)?(?:{full})", 0.95),
-            _rule(label, 3, keyword, full, 0.9),
-            _rule(label, 4, keyword.split()[0], f"{name} {version}" if digits else f"the {name} licen[sc]e terms", 0.8),
-            _rule(label, 5, identifier.split()[0].strip("(?:").split("|")[0], f"{identifier} licen[sc]ed?", 0.6),
+            _rule(label, 1, "spdx licen", f"spdx licen[sc]e identifier {identifier}", 1.0),
+            _rule(label, 2, name, f"(?:licensed|released|distributed|available|published|provided|covered|use) under (?:the )?(?:terms of (?:the )?)?(?:{full})", 0.95),
+            _rule(label, 3, name, full, 0.9),
+            _rule(label, 4, name, f"{name} {version}" if digits else f"the {name} licen[sc]e terms", 0.8),
+            _rule(label, 5, identifier, f"{identifier} licen[sc]ed?", 0.6),
         ]
-    out += [_rule(label, priority, keyword, words, score) for label, keyword, words, priority, score in OTHERS]
+    out += [_rule(label, priority, words, words, score) for label, words, priority, score in OTHERS]
     return out
 
 
+def _prefilter() -> tuple[str, ...]:
+    """The fewest words of which every match of any rule holds one: "licen" for the rules that need it, else the rule's key words."""
+    words: set[str] = set()
+    for r in rules():
+        licensed = any(all("licen" in x for x in s) for s in _needed(_parser.parse(r.pattern)))
+        words |= {"licen"} if licensed else set(r.keywords)
+    return tuple(sorted(w for w in words if not any(v != w and v in w for v in words)))
+
+
+#: A text whose words hold none of these is not scanned.
+PREFILTER = _prefilter()
+
+
 def _places(words: Column, phrase: tuple[str, ...]) -> Column:
     """Indices at which the phrase stands in an array of words."""
     last = F.size(words) - len(phrase)
@@ -176,10 +222,10 @@ def _spaces(x: Column) -> Column:
 def _detections(spaced: Column) -> Column:
     """Array of (label, priority, score, start, end) of all rules' matches; end is exclusive."""
     table = F.from_json(
-        F.lit(json.dumps([{"label": r.label, "priority": r.priority, "keyword": r.keyword, "pattern": r.pattern, "score": r.score} for r in rules()])),
-        "array<struct<label:string,priority:int,keyword:string,pattern:string,score:double>>",
+        F.lit(json.dumps([{"label": r.label, "priority": r.priority, "keywords": r.keywords, "pattern": r.pattern, "score": r.score} for r in rules()])),
+        "array<struct<label:string,priority:int,keywords:array<string>,pattern:string,score:double>>",
     )
-    tried = F.filter(table, lambda r: spaced.contains(r.keyword))
+    tried = F.filter(table, lambda r: F.exists(r.keywords, lambda k: spaced.contains(k)))
     kind = "array<struct<label:string,priority:int,score:double,start:int,end:int>>"
 
     def intervals(r: Column) -> Column:
@@ -214,13 +260,13 @@ def _joined(labels: Column) -> Column:
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
-    low = F.lower(F.col("_text"))
     passes = F.lit(False)
     for word in PREFILTER:
-        passes = passes | low.contains(word)
+        passes = passes | F.col("_spaced").contains(word)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, SEPARATORS, " ")), F.lit(" "))
-    rows = rows.select("doc_id", F.regexp_count("_text", F.lit(WORDS)).cast("long").alias("n_words"), F.when(passes, spaced).alias("_spaced"))
+    rows = rows.withColumn("_spaced", F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("_text"), SEPARATORS, " ")), F.lit(" ")))
+    n_words = F.when(F.col("_spaced") == "  ", 0).otherwise(_spaces(F.col("_spaced")) - 1)
+    rows = rows.select("doc_id", n_words.cast("long").alias("n_words"), F.when(passes, F.col("_spaced")).alias("_spaced"))
     words = F.split(F.trim(F.col("_spaced")), " ")
     nothing = F.array().cast("array<struct<label:string,priority:int,score:double,start:int,end:int>>")
     rows = rows.withColumn("_words", F.when(F.col("_spaced").contains(" license "), words))

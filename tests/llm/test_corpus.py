@@ -297,6 +297,50 @@ def test_licenses(spark, docs, empty):
     assert len(licenses.rules()) > 200 and licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(docs).count() == len(ROWS)
 
 
+def test_licenses_of_every_rule_without_a_gate(spark):
+    texts = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "the origin of this software must not be misrepresented",
+        "Proprietary and confidential",
+        "code under Apache 2.0 here",
+        "all rights\nreserved",
+        "placed in the public\ndomain",
+        "under the Creative Commons Zero 1.0 Universal",
+        "Creative Commons Zero 1.0",
+        "released under the Internet Systems Consortium License",
+        "the X Consortium licence terms",
+        "PSF-2.0 licensed",
+        "nothing to permit here",
+    ]
+    alone = dict.fromkeys(texts[:12], True)
+    rules = licenses.rules()
+    # one text of each rule: each alternative group's first and last branch, with and without its options
+    for r in rules:
+        for keep in (True, False):
+            for branch in (0, -1):
+                t = r.pattern[:-5]
+                while (new := re.sub(r"\(\?:([^()]*)\)(\?)?", lambda m: "" if m[2] and not keep else m[1].split("|")[branch], t)) != t:
+                    t = new
+                t = re.sub(r" \?", " " if keep else "", t)
+                t = re.sub(r"d\?$", "d" if keep else "", t).replace("[sc]", "s").replace("(19|20)", "19")
+                texts.append(re.sub(r"\[0-9\](\{2\})?", lambda m: "11" if m[1] else "1", t))
+
+    def force(text):
+        spaced = f" {' '.join(re.findall('[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', text.lower()))} "
+        found = []
+        for r in rules:
+            for m in re.finditer(r.pattern, spaced):
+                start = spaced[: m.start()].count(" ")
+                found.append((r.label, r.priority, r.score, start, start + m[0].count(" ")))
+        return Counter(d for d in found if not any(e[3] <= d[3] and e[4] >= d[4] and (e[1] < d[1] or e[1] == d[1] and e[4] - e[3] > d[4] - d[3]) for e in found))
+
+    got = {r["doc_id"]: Counter(tuple(d) for d in r["detections"]) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {i: force(t) for i, t in enumerate(texts)}
+    assert got == want
+    assert all(want[i] for i, t in enumerate(texts) if t in alone) and sum(map(bool, want.values())) > 0.9 * len(texts)
+
+
 # --- op8 ---
 
 
