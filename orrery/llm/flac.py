@@ -261,6 +261,7 @@ class Stream:
     bits: int
     total: int
     md5: bytes
+    seeks: dict[int, int]  # sample number -> byte of its frame, counted from the first frame
     first_frame: int  # byte at which frames begin
 
 
@@ -280,6 +281,7 @@ def parse_stream(data: bytes) -> Stream:
     if data[:4] != b"fLaC":
         raise FlacError("not a FLAC stream")
     at, info = 4, None
+    seeks: dict[int, int] = {}
     while True:
         if at + 4 > len(data):
             raise FlacError("the stream ends within its metadata")
@@ -288,12 +290,15 @@ def parse_stream(data: bytes) -> Stream:
         if kind == 0:
             packed = int.from_bytes(block[10:18], "big")
             info = (packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, block[18:34])
+        elif kind == 3:
+            points = [(int.from_bytes(block[k : k + 8], "big"), int.from_bytes(block[k + 8 : k + 16], "big")) for k in range(0, size - size % 18, 18)]
+            seeks = {n: place for n, place in points if n != (1 << 64) - 1}
         at += 4 + size
         if last:
             break
     if info is None:
         raise FlacError("no stream information")
-    return Stream(*info, at)
+    return Stream(*info, seeks, at)
 
 
 def _read_header(data: bytes, at: int, s: Stream) -> tuple[int, int, int, int, int, bool] | None:
@@ -329,27 +334,39 @@ def _read_header(data: bytes, at: int, s: Stream) -> tuple[int, int, int, int, i
     return p + 1, number, length, assignment, bits, bool(data[at + 1] & 1)
 
 
+def _ends(data: bytes, start: int, end: int) -> bool:
+    """Whether the bytes from start to end close with their own checksum, as a frame does."""
+    if end - start < 3:
+        return False
+    buffer = np.frombuffer(data, dtype=np.uint8)
+    return int(crc16_many(buffer, np.array([start]), np.array([end - 2]))[0]) == int.from_bytes(data[end - 2 : end], "big")
+
+
 def find_frames(data: bytes, s: Stream, index: int) -> list[Frame]:
-    """Frames by their sync codes, header checksums and consecutive numbers; frame checksums are verified when decoding."""
+    """Frames by the seek table; where it names none, by sync codes, header checksums and consecutive numbers, and only where
+    the frame before ends with a right checksum. The other frame checksums are verified when decoding."""
     found: list[Frame] = []
-    at, expected, blocks = s.first_frame, 0, 0
-    while at < len(data):
+    at, expected, blocks, known = s.first_frame, 0, 0, True
+    while 0 <= at < len(data):
         header = _read_header(data, at, s)
         body, number, length, assignment, bits, variable = header if header else (0, -1, 0, 0, 0, False)
-        if header is None or number != (expected if variable else blocks):
-            if not found:
-                raise FlacError(f"no frame at byte {at}")
-            at = data.find(b"\xff", at + 1)
-            if at < 0:
-                break
+        good = header is not None and number == (expected if variable else blocks)
+        if not found and not good:
+            raise FlacError(f"no frame at byte {at}")
+        if not good or not (known or _ends(data, found[-1].start, at)):
+            # a wrong point of the table is no place to go on from
+            at, known = data.find(b"\xff", (found[-1].body if known else at) + 1), False
             continue
         if found:
             found[-1].end = at
         found.append(Frame(index, at, body, len(data), expected, length, assignment, bits))
         expected, blocks = expected + length, blocks + 1
-        at = data.find(b"\xff", body + 1)
-        if at < 0:
+        if s.total and expected >= s.total:
             break
+        at = s.first_frame + s.seeks.get(expected, -1 - s.first_frame)
+        known = body < at < len(data)
+        if not known:
+            at = data.find(b"\xff", body + 1)
     return found
 
 

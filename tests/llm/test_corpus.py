@@ -81,6 +81,25 @@ def test_flac_noise_and_constants():
         assert (x[:, 0] + 128).astype(np.uint8).tobytes() == payload
 
 
+@pytest.mark.parametrize("table", ["whole", "none", "wrong", "placeholders"])
+def test_flac_header_inside_a_frame(table):
+    payload = bytearray(np.random.default_rng(3).integers(0, 256, 3 * flac.BLOCK, dtype=np.uint8).tobytes())
+    plain = flac.encode_streams([bytes(payload)])[0]
+    second = flac.decode_streams([plain])[0][2][1]
+    header = plain[second.start : second.body]
+    payload[300 : 300 + len(header)] = bytes(b ^ 0x80 for b in header)
+    stream = flac.encode_streams([bytes(payload)])[0]
+    assert stream.count(header) == 2
+    first = flac.parse_stream(stream).first_frame
+    if table == "none":
+        stream = stream[:4] + b"\x80" + stream[5:42] + stream[first:]
+    elif table != "whole":
+        points = flac.BLOCK.to_bytes(8, "big") + (7).to_bytes(8, "big") + b"\0\0" if table == "wrong" else b"\xff" * 8 + b"\0" * 10
+        stream = stream[:42] + b"\x83" + len(points).to_bytes(3, "big") + points + stream[first:]
+    (_, x, frames), = flac.decode_streams([stream])
+    assert (x[:, 0] + 128).astype(np.uint8).tobytes() == payload and len(frames) == 3
+
+
 # --- op2 ---
 
 
