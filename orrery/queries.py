@@ -264,8 +264,12 @@ def permuted_column(spark, d):
 _EMB = "SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings"
 
 
-def _embeddings(spark, d) -> tuple[DataFrame, list[str]]:
-    names = [f"e{i}" for i in range(8)]
+#: Numbers of an embedding, and those that the queries with all-pairs SQL take: a prefix, as their SQL has it.
+WHOLE, PREFIX = 64, 8
+
+
+def _embeddings(spark, d, dims: int = WHOLE) -> tuple[DataFrame, list[str]]:
+    names = [f"e{i}" for i in range(dims)]
     return _read(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names
 
 
@@ -276,6 +280,13 @@ _NEAR = f"""WITH v AS ({_E8}), q AS (SELECT a.vec_id AS query_id, b.vec_id AS ne
 
 @_query(f"{_NEAR} SELECT query_id, rank::INT AS rank, neighbor_id, round(distance, 4) AS distance FROM n WHERE rank > 1")
 def k_neighbors(spark, d):
+    df, names = _embeddings(spark, d, PREFIX)
+    f = NearestNeighbors(5).fit(df, features=names, id="vec_id")
+    return _r(f.kneighbors(df, "vec_id").where("rank > 1"))
+
+
+@_query()
+def k_neighbors_whole(spark, d):
     df, names = _embeddings(spark, d)
     f = NearestNeighbors(5).fit(df, features=names, id="vec_id")
     return _r(f.kneighbors(df, "vec_id").where("rank > 1"))
@@ -283,12 +294,24 @@ def k_neighbors(spark, d):
 
 @_query(f"{_NEAR} SELECT query_id AS vec_id, arg_min(nl, (-c, nl)) AS prediction FROM (SELECT query_id, nl, count(*) AS c FROM n GROUP BY 1, 2) GROUP BY 1")
 def knn_classifier(spark, d):
+    df, names = _embeddings(spark, d, PREFIX)
+    return KNeighborsClassifier(5).fit(df, features=names, target="label", id="vec_id").predict(df).select("vec_id", "prediction")
+
+
+@_query()
+def knn_classifier_whole(spark, d):
     df, names = _embeddings(spark, d)
     return KNeighborsClassifier(5).fit(df, features=names, target="label", id="vec_id").predict(df).select("vec_id", "prediction")
 
 
 @_query(f"{_NEAR} SELECT query_id AS vec_id, round(avg(nl), 4) AS prediction FROM n GROUP BY 1")
 def knn_regressor(spark, d):
+    df, names = _embeddings(spark, d, PREFIX)
+    return _r(KNeighborsRegressor(5).fit(df, features=names, target="label", id="vec_id").predict(df).select("vec_id", "prediction"))
+
+
+@_query()
+def knn_regressor_whole(spark, d):
     df, names = _embeddings(spark, d)
     return _r(KNeighborsRegressor(5).fit(df, features=names, target="label", id="vec_id").predict(df).select("vec_id", "prediction"))
 
@@ -306,7 +329,7 @@ def array_distances(spark, d):
  a AS (SELECT vec_id, v.e, arg_min(k, (list_distance(v.e, c.e), k)) AS k FROM v, c GROUP BY vec_id, v.e)
  SELECT k::INT AS cluster, count(*) AS n, round(avg(e[1]), 4) + 0.0 AS e0, round(avg(e[8]), 4) + 0.0 AS e7 FROM a GROUP BY k""")
 def kmeans_step(spark, d):
-    df, names = _embeddings(spark, d)
+    df, names = _embeddings(spark, d, PREFIX)
     start = [tuple(r) for r in df.orderBy("vec_id").limit(4).select(*names).collect()]
     f = KMeans(4, init=start, max_iterations=1).fit(df, features=names)
     import numpy as np
@@ -317,6 +340,19 @@ def kmeans_step(spark, d):
     return _r(counts.join(F.broadcast(centers), "cluster"))
 
 
+@_query()
+def kmeans_step_whole(spark, d):
+    df, names = _embeddings(spark, d)
+    start = [tuple(r) for r in df.orderBy("vec_id").limit(4).select(*names).collect()]
+    f = KMeans(4, init=start, max_iterations=1).fit(df, features=names)
+    import numpy as np
+
+    given = CentersFit(f.spec, f.features, f.report, np.array(start))
+    counts = given.predict(df).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    centers = spark.createDataFrame([(i + 1, [round(float(x), 4) + 0.0 for x in c]) for i, c in enumerate(f.centers)], "cluster int, center array<double>")
+    return counts.join(F.broadcast(centers), "cluster")
+
+
 @_query()
 def dbscan(spark, d):
     df, names = _embeddings(spark, d)
@@ -330,7 +366,7 @@ _GNB = " - ".join(["ln(p)"] + [f"0.5 * ln(2 * pi() * v{i}) - (e[{i + 1}] - m{i})
  c AS (SELECT label, count(*) / (SELECT count(*) FROM v)::DOUBLE AS p, {', '.join(f'avg(e[{i + 1}]) AS m{i}, var_pop(e[{i + 1}]) + (SELECT eps FROM s) AS v{i}' for i in range(2))} FROM v GROUP BY label)
  SELECT vec_id, arg_min(c.label, (-({_GNB}), c.label)) AS prediction FROM v, c GROUP BY vec_id""")
 def gaussian_naive_bayes(spark, d):
-    df, names = _embeddings(spark, d)
+    df, names = _embeddings(spark, d, PREFIX)
     return GaussianNaiveBayes().fit(df, features=names[:2], target="label").predict(df).select("vec_id", "prediction")
 
 

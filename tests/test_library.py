@@ -181,3 +181,26 @@ def test_parity_with_sql(spark, name):
     assert columns == sorted(want.columns)
     a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
     pd.testing.assert_frame_equal(a, b, check_dtype=False, atol=1e-9)
+
+
+def test_whole_embeddings_by_force(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas().sort_values("vec_id")
+    ids, y, X = df["vec_id"].to_numpy(), df["label"].to_numpy(), np.stack(df["embedding"]).astype(float)
+    assert X.shape[1] == 64
+    rows = lambda name: library.queries()[name](spark, SF).collect()
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(axis=2))
+    near = [np.lexsort((ids, d.round(9)))[:5] for d in D]
+    got = {(r["query_id"], r["rank"]): (r["neighbor_id"], r["distance"]) for r in rows("k_neighbors_whole")}
+    want = {(ids[i], k + 1): (ids[near[i][k]], D[i, near[i][k]]) for i in range(len(ids)) for k in range(1, 5)}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-4) for k in want)
+    votes = {ids[i]: min(set(y[n]), key=lambda c, n=n: (-(y[n] == c).sum(), c)) for i, n in enumerate(near)}
+    assert {r["vec_id"]: r["prediction"] for r in rows("knn_classifier_whole")} == votes
+    means = {r["vec_id"]: r["prediction"] for r in rows("knn_regressor_whole")}
+    assert all(means[ids[i]] == pytest.approx(y[n].mean(), abs=1e-4) for i, n in enumerate(near)) and len(means) == len(ids)
+    cluster = np.array([np.argmin(d[:4]) for d in D])
+    for r in rows("kmeans_step_whole"):
+        own = X[cluster == r["cluster"] - 1]
+        assert r["n"] == len(own) and np.allclose(r["center"], own.mean(axis=0), atol=1e-4)
+    core = (D <= 0.6).sum(axis=1) >= 4
+    found = {r["id"]: r for r in rows("dbscan")}
+    assert all(found[i]["core"] == c and (found[i]["cluster"] == 0) == (not (core & (D[k] <= 0.6)).any()) for k, (i, c) in enumerate(zip(ids, core, strict=True)))
