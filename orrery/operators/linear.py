@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from orrery.core import Context, Dataset, Fitted, FitReport, Spec, check, proba_names
 from orrery.errors import UnsupportedDataError
 from orrery.plans import solvers
-from orrery.plans.passes import class_index, classes_of, collect_local, dot, first_argmax, guard, held, moments, number, partial_sums, sigmoid
+from orrery.plans.passes import class_index, classes_of, collect_local, dot, first_argmax, guard, held, moments, number, partial_sums, pool, sigmoid
 
 
 def _report(data: Dataset, n: int, context: Context, trace: solvers.Trace | None = None, **details) -> FitReport:
@@ -518,7 +518,10 @@ class OrdinalRegression(Spec):
 
 @dataclass(frozen=True)
 class TheilSenRegression(Spec):
-    """Spatial median of the least-squares fits to random subsets of p + 1 rows; intercept: median residual."""
+    """Spatial median of the least-squares fits to random subsets of p + 1 rows; intercept: median residual.
+
+    The subsets are drawn from a hash pool of at most max_subpopulations * (p + 1) rows.
+    """
 
     max_subpopulations: int = 10_000
     max_iterations: int = 300
@@ -553,11 +556,11 @@ class TheilSenRegression(Spec):
 
 
 def _sampled_rows(data: Dataset, n: int, size: int, rng: np.random.Generator) -> np.ndarray:
-    """About ``size`` rows (features, target): the first by a seeded hash of their content; all if there are no more."""
+    """About ``size`` rows (features, target): a seeded hash pool in which repeated rows keep their share; all if there are no more."""
     columns = [number(c).alias(f"x{i}") for i, c in enumerate([*data.features, data.targets[0]])]
     rows = data.df.select(*columns)
     if n > size:
-        rows = rows.orderBy(F.xxhash64(F.lit(int(rng.integers(1 << 31))), *[F.col(f"x{i}") for i in range(len(columns))])).limit(size)
+        rows = pool(rows, size, int(rng.integers(1 << 31)))
     M = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in rows.toArrow().itercolumns()])
     return M[np.lexsort(M.T[::-1])]
 
@@ -587,7 +590,8 @@ def _spatial_median(points: np.ndarray, max_iterations: int, tolerance: float) -
 class RANSACRegression(Spec):
     """Fits the base model to random minimal samples, keeps the one with most rows within the threshold, and refits on those.
 
-    Trials are scored in groups: one aggregate counts the inliers of all trials of a group.
+    Trials are drawn from a hash pool of at most max(5000, 50 * size of a sample) rows and scored on all rows, in groups: one
+    aggregate counts the inliers of all trials of a group.
     """
 
     base_estimator: Spec = field(default_factory=LinearRegression)
@@ -612,14 +616,14 @@ class RANSACRegression(Spec):
             middle = data.df.agg(F.percentile(y, F.lit(0.5))).first()[0]
             threshold = data.df.agg(F.percentile(F.abs(y - middle), F.lit(0.5))).first()[0]
         rng = context.rng("ransac")
-        pool = _sampled_rows(data, n, min(n, max(5000, 50 * size)), rng)
+        drawn = _sampled_rows(data, n, min(n, max(5000, 50 * size)), rng)
         loss = lambda b, a: F.abs(y - dot(data.features, b, a)) if self.loss == "absolute_error" else (y - dot(data.features, b, a)) ** 2
-        best, trials, needed, D = (-1, np.inf, None), 0, self.max_trials, np.column_stack((pool[:, :-1], np.ones(len(pool))))
+        best, trials, needed, D = (-1, np.inf, None), 0, self.max_trials, np.column_stack((drawn[:, :-1], np.ones(len(drawn))))
         while trials < min(self.max_trials, needed):
             group = []
             for _ in range(min(20, self.max_trials - trials)):
-                pick = rng.choice(len(pool), size, replace=False)
-                b = np.linalg.lstsq(D[pick], pool[pick, -1], rcond=None)[0]
+                pick = rng.choice(len(drawn), size, replace=False)
+                b = np.linalg.lstsq(D[pick], drawn[pick, -1], rcond=None)[0]
                 group.append((b[:-1], b[-1]))
             sums = []
             for i, (b, a) in enumerate(group):

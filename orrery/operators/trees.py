@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.core import Context, Dataset, Fitted, FitReport, Spec, add_numpy, check, proba_names
-from orrery.plans.passes import class_index, classes_of, collect_local, guard, held, number, partial_sums
+from orrery.plans.passes import class_index, classes_of, collect_local, guard, held, number, partial_sums, pool
 
 
 @dataclass(frozen=True)
@@ -404,7 +404,10 @@ def _path(n: float) -> float:
 
 @dataclass(frozen=True)
 class IsolationForest(Spec):
-    """Random splits of hash samples of at most max_samples rows; the score is 2^(-mean path / expected path)."""
+    """Random splits of samples of at most max_samples rows; the score is 2^(-mean path / expected path).
+
+    The samples are drawn from a hash pool of at most 40 * max_samples rows, in which repeated rows keep their share.
+    """
 
     n_estimators: int = 100
     max_samples: object = "auto"
@@ -414,11 +417,11 @@ class IsolationForest(Spec):
     def _fit(self, data: Dataset, context: Context) -> Fitted:
         n = guard(data.df, data.features, "IsolationForest", 2)
         size = min(n, 256 if self.max_samples == "auto" else int(self.max_samples))
-        pool = data.df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(data.features)])
+        rows = data.df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(data.features)])
         limit = min(n, size * 40)
         if n > limit:
-            pool = pool.orderBy(F.xxhash64(*pool.columns)).limit(limit)
-        X = np.array([tuple(r) for r in pool.collect()], dtype=float)
+            rows = pool(rows, limit, context.derive("pool", 0).seed >> 2)
+        X = np.array([tuple(r) for r in rows.collect()], dtype=float)
         X = X[np.lexsort(X.T[::-1])]
         trees = tuple(self._tree(X[(rng := context.rng("isolation", i)).choice(len(X), size, replace=False)], rng) for i in range(self.n_estimators))
         fit = IsolationFit(self, data.features, FitReport(n, len(data.features), details={"sample": size}), trees, max(_path(size), 1e-12), 0.5)

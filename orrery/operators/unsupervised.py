@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orrery.core import Context, Dataset, Fitted, FitReport, Spec, add_numpy, check, proba_names
 from orrery.errors import UnsupportedDataError
-from orrery.plans.passes import collect_local, dot, guard, held, moments, number, partial_sums
+from orrery.plans.passes import collect_local, dot, guard, held, moments, number, partial_sums, pool
 
 
 @dataclass(frozen=True)
@@ -241,7 +241,7 @@ class CentersFit(Fitted):
 
 @dataclass(frozen=True)
 class KMeans(Spec):
-    """Lloyd's steps, one pass each; starts by k-means++ on a hash sample; n_init starts, least inertia wins; empty clusters go to the farthest row."""
+    """Lloyd's steps, one pass each; starts by k-means++ on a hash pool of at most max(2000, 20 k) rows; n_init starts, least inertia wins; empty clusters go to the farthest row."""
 
     n_clusters: int = 8
     init: object = "kmeans++"
@@ -286,7 +286,8 @@ class KMeans(Spec):
 
 
 def _sample(rows: DataFrame, n: int, size: int, p: int) -> np.ndarray:
-    picked = rows if n <= size else rows.orderBy(F.xxhash64(*rows.columns)).limit(size)
+    """At most ``size`` rows for starts, without their last columns; repeated rows keep their share."""
+    picked = rows if n <= size else pool(rows, size)
     X = np.array([r[:p] for r in map(tuple, picked.collect())], dtype=float).reshape(-1, p)
     return X[np.lexsort(X.T[::-1])]
 
@@ -475,7 +476,7 @@ class MixtureFit(Fitted):
 
 @dataclass(frozen=True)
 class GaussianMixture(Spec):
-    """EM with full covariances + regularization * I; one pass per iteration; the best bound of n_init starts."""
+    """EM with full covariances + regularization * I; one pass per iteration; the best bound of n_init starts, from a hash pool of at most max(2000, 20 k) rows."""
 
     n_components: int = 1
     n_init: int = 1

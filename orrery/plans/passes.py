@@ -25,6 +25,24 @@ SQL_COLUMNS = 16
 MAX_LOCAL_ROWS = 20_000
 
 
+#: Equal rows of a pool are numbered in runs of so many.
+_RUN = 1 << 16
+
+
+def pool(rows: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """``size`` rows drawn without replacement: the first by a hash of their content, their rank among equal rows and the seed.
+
+    A value takes the share of the pool that it has of the rows, and the partitions don't matter. Equal rows are counted before
+    they move, and numbered in runs that are dealt over the tasks.
+    """
+    names = rows.columns
+    runs = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    runs = runs.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / _RUN)))).repartition(*names, "_run")
+    at = F.col("_run") * _RUN
+    ranked = runs.withColumn("_rank", F.explode(F.sequence(at, F.least(at + _RUN, F.col("_n")) - 1)))
+    return ranked.orderBy(F.xxhash64(F.lit(seed), *names, "_rank"), *names, "_rank").limit(size).select(*names)
+
+
 def number(c: str) -> Column:
     return F.col(f"`{c}`").cast("double")
 

@@ -204,3 +204,25 @@ def test_whole_embeddings_by_force(spark):
     core = (D <= 0.6).sum(axis=1) >= 4
     found = {r["id"]: r for r in rows("dbscan")}
     assert all(found[i]["core"] == c and (found[i]["cluster"] == 0) == (not (core & (D[k] <= 0.6)).any()) for k, (i, c) in enumerate(zip(ids, core, strict=True)))
+
+
+def test_pools_keep_the_share_of_repeated_rows(spark):
+    from orrery.operators.linear import _sampled_rows
+    from orrery.operators.unsupervised import _sample
+
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id") + 1.0).alias("x0"), F.lit(1.0).alias("y"))
+    for seed in range(2):
+        drawn = _sampled_rows(Dataset(df, ("x0",), "y"), 30_000, 2000, np.random.default_rng(seed))
+        assert len(drawn) == 2000 and abs((drawn[:, 0] == 0).mean() - 1 / 3) < 0.05
+        others = drawn[drawn[:, 0] != 0, 0]
+        assert len(set(others)) == len(others)
+    assert abs((_sample(df, 30_000, 2000, 1) == 0).mean() - 1 / 3) < 0.05
+    seen = []
+
+    class Seen(IsolationForest):
+        def _tree(self, X, rng):
+            seen.append((X == 0).mean())
+            return super(Seen, self)._tree(X, rng)
+
+    Seen(n_estimators=20).fit(df, features=["x0"], context=Context(3))
+    assert abs(np.mean(seen) - 1 / 3) < 0.05
