@@ -8,36 +8,29 @@ from pyspark.sql import functions as F
 from orrery.llm.common import cut
 
 
-def _roots(parents: DataFrame) -> DataFrame:
-    """(node, label) with label <= node -> the end of each node's chain of labels; chains are halved in every round."""
-    while True:
-        up = parents.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        least = F.coalesce("next", "label")
-        new = cut(parents.join(up, "label", "left").select("node", least.alias("label"), (least != F.col("label")).alias("changed")))
-        parents = new.drop("changed")
-        if not new.where("changed").count():
-            return parents
+def _hop(labels: DataFrame, up: DataFrame) -> DataFrame:
+    """(node, label) with each label replaced by its own label, where ``up`` has one."""
+    following = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    return labels.join(following, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) rows -> (node, label), label being the smallest node that is reachable.
 
-    In each round every node points to its least neighbour, all nodes of such a tree become its root, and the edges are contracted
-    to edges between roots; those within a tree vanish, so rounds get smaller fast. All steps are checkpointed, and only counts
-    reach the driver.
+    In each round every node points to its least neighbour or itself, four such steps are taken at once, and the edges are moved
+    to where their ends have come. That keeps what is connected connected and shrinks it; no edge is left when every component
+    has come to its smallest node. A round is three checkpointed plans; only whether edges are left reaches the driver.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     labels = None
-    while True:
+    while labels is None or not edges.isEmpty():
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("e")).select("e.*")
-        roots = _roots(cut(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("label"))))
-        if labels is None:
-            labels = roots
-        else:
-            up = roots.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            labels = cut(labels.join(up, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
-        of = [roots.select(F.col("node").alias(x), F.col("label").alias(f"root_{x}")) for x in "ab"]
-        between = edges.join(of[0], "a").join(of[1], "b").where("root_a <> root_b")
-        edges = cut(between.select(F.greatest("root_a", "root_b").alias("a"), F.least("root_a", "root_b").alias("b")).distinct())
-        if edges.isEmpty():
-            return labels
+        up = cut(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("label")))
+        two = _hop(up, up)
+        up = cut(_hop(two, two))
+        labels = up if labels is None else cut(_hop(labels, up))
+        for x in "ab":
+            edges = edges.join(up.select(F.col("node").alias(x), F.col("label").alias(f"to_{x}")), x)
+        moved = edges.where("to_a <> to_b")
+        edges = cut(moved.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")).distinct())
+    return labels

@@ -101,3 +101,9 @@ def set_hash(tokens: np.ndarray) -> int:
     """One signed 64-bit number for a set of shingles."""
     total = np.append(mix(tokens ^ _BASE), np.full(len(tokens), _INVERSE)).sum(dtype=np.uint64)
     return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
+
+
+def second_hash(tokens: np.ndarray) -> int:
+    """Another signed 64-bit number for a set of shingles, independent of set_hash."""
+    total = mix(tokens * _INVERSE + _BASE).sum(dtype=np.uint64) + np.uint64(len(tokens))
+    return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])

@@ -178,6 +178,39 @@ def test_blocks_of_large_groups(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_clusters_of_several_blocks_and_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 6)
+    monkeypatch.setattr(jaccard, "QUERIES", 5)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(4):  # chains of edits drift away from where they began, so that a cluster has several components
+        now = [f"b{i}" for i in range(60)]
+        for j in range(25):
+            rows.append((100 * k + j, " ".join(now)))
+            for at in rng.integers(0, len(now), rng.integers(0, 4)):
+                now[at] = f"x{k}_{j}_{at}"
+    for t in (jaccard.Threshold(90, 100, 3), jaccard.Threshold(80, 100, 2)):
+        got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), t).collect()
+        assert Counter(map(tuple, got)) == components_by_force(rows, t)
+
+
+def test_block_components_by_force():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        base = rng.choice(2**40, 60, replace=False).astype(np.uint64)
+        sets = [np.unique(np.concatenate((rng.choice(base, rng.integers(30, 60), replace=False), rng.integers(0, 2**40, rng.integers(0, 4)).astype(np.uint64)))) for _ in range(30)]
+        t = jaccard.Threshold(70, 100, 3)
+        up = list(range(30))
+        for a in range(30):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if t.den * both >= t.num * (len(sets[a]) + len(sets[b]) - both):
+                    up = [up[b] if u == up[a] else u for u in up]
+        got = jaccard.block_components(sets, t)
+        assert len({(u, g) for u, g in zip(up, got.tolist(), strict=True)}) == len(set(up)) == len(set(got.tolist()))
+
+
 def test_connected_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(50, 40), (40, 60)], "a long, b long")
     assert {r["node"]: r["label"] for r in connected_components(edges).collect()} == {**{k: 0 for k in range(21)}, 40: 40, 50: 40, 60: 40}
