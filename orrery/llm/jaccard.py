@@ -311,17 +311,14 @@ def shared_tokens(docs: DataFrame, t: Threshold, needed: Bloom) -> DataFrame:
             yield from flush(sets, classes)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counts(cls: np.ndarray, shared: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            at, which = np.unique(cls, return_inverse=True)
-            most = np.zeros(len(at), dtype=np.int64)
-            np.maximum.at(most, which, n)
-            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(which, weights=shared, minlength=len(at)).astype(np.int64)), pa.array(most)], names=["cls", "bound", "n"])
+        def counts(cls: np.ndarray, shared: np.ndarray | int, n: np.ndarray | int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(cls), *(pa.array(np.broadcast_to(np.asarray(x, dtype=np.int64), len(cls))) for x in (shared, n))], names=["cls", "bound", "n"])
 
         def of_tokens(key: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+            """A row for each token that its class shares; they are added up before they are shuffled."""
             _, which, times = np.unique(key, return_inverse=True, return_counts=True)
             known = np.bincount(which[cls == nobody], minlength=len(times)) > 0
-            hit = ((times > 1) | known)[which] & (cls != nobody)
-            return counts(cls[hit], np.ones(int(hit.sum())), np.zeros(int(hit.sum()), dtype=np.int64))
+            return counts(cls[((times > 1) | known)[which] & (cls != nobody)], 1, 0)
 
         key, cls = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in batches:
