@@ -8,8 +8,9 @@ Rice methods with escapes, and files without a seek table; it verifies the check
 Speed without native code: frames don't depend on each other, so all frames of a batch are parsed, and their predictors run, in
 lock-step; one numpy step does one sample (or one code) of every frame.
 
-Edge cases: a null text is an empty one, which is stored as 64 zero bytes; equal texts give equal streams; a damaged stream
-raises ``FlacError`` with its place; repeated rows are kept; an empty table gives no rows; other columns are ignored.
+Edge cases: a null text is an empty one, which is stored as 64 zero bytes; equal texts give equal streams; a damaged or null
+stream keeps its row, with null results and an ``error`` that names its place (``decode_streams`` raises ``FlacError``); a text of any
+length is one stream, held in memory whole; repeated rows are kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import read, small
+from orrery.llm.common import read, small, tidy
 
 RATE = 8000
 BLOCK = 1024
@@ -613,13 +614,14 @@ def padded(text: str | None) -> bytes:
     return raw + b"\0" * (-len(raw) % ALIGN or (0 if raw else ALIGN))
 
 
-def _groups(items: list[bytes]) -> Iterator[tuple[int, int]]:
+def _groups(items: list[bytes | None]) -> Iterator[tuple[int, int]]:
     lo = size = 0
     for i, x in enumerate(items):
-        if size and size + len(x) > GROUP_BYTES:
+        n = len(x or b"")
+        if size and size + n > GROUP_BYTES:
             yield lo, i
             lo, size = i, 0
-        size += len(x)
+        size += n
     if lo < len(items):
         yield lo, len(items)
 
@@ -636,54 +638,74 @@ def encode_media(docs: DataFrame) -> DataFrame:
                 sizes = [len((t or "").encode()) for t in texts[lo:hi]]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
+
+
+def decoded_blocks(streams: list[bytes | None]) -> list[tuple[list[tuple[int, int, int, bytes]], str | None]]:
+    """Of each stream its blocks (sample_offset, n_samples, byte_offset, pcm), or none and what is wrong with it."""
+
+    def blocks(decoded: tuple[Stream, np.ndarray, list[Frame]]) -> list[tuple[int, int, int, bytes]]:
+        s, samples, frames = decoded
+        return [(f.sample, f.length, f.start, pcm_bytes(samples[f.sample : f.sample + f.length], s.bits)) for f in frames]
+
+    try:
+        return [(blocks(x), None) for x in decode_streams(streams)]
+    except (FlacError, IndexError, ValueError, TypeError):  # one at a time, to tell the damaged ones from the rest
+        out = []
+        for data in streams:
+            try:
+                out.append((blocks(decode_streams([data])[0]), None))
+            except (FlacError, IndexError, ValueError, TypeError) as e:
+                out.append(([], str(e) if isinstance(e, FlacError) else "no stream" if data is None else f"not readable: {e}"))
+        return out
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """media with doc_id and media -> one row per frame: doc_id, block, sample_offset, n_samples, byte_offset, pcm.
+    """media with doc_id and media -> one row per frame: doc_id, block, sample_offset, n_samples, byte_offset, pcm, error.
+
+    A damaged stream has one row, with an error and without a block.
 
     A sample is found without decoding others: its block is the last one whose sample_offset is not above it, and byte_offset
     is where that frame stands in the stream.
     """
-    names = ["doc_id", "block", "sample_offset", "n_samples", "byte_offset", "pcm"]
+    names = ["doc_id", "block", "sample_offset", "n_samples", "byte_offset", "pcm", "error"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             ids, streams = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in _groups(streams):
                 rows = []
-                for doc_id, (s, samples, frames) in zip(ids[lo:hi], decode_streams(streams[lo:hi]), strict=True):
-                    rows += [(doc_id, i, f.sample, f.length, f.start, pcm_bytes(samples[f.sample : f.sample + f.length], s.bits)) for i, f in enumerate(frames)]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                for doc_id, (blocks, error) in zip(ids[lo:hi], decoded_blocks(streams[lo:hi]), strict=True):
+                    rows += [(doc_id, i, *block, None) for i, block in enumerate(blocks)] if error is None else [(doc_id, None, None, None, None, None, error)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block int, sample_offset long, n_samples long, byte_offset long, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(tidy(run), "doc_id long, block int, sample_offset long, n_samples long, byte_offset long, pcm binary, error string")
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Digests of media columns whose samples are the bytes of a payload, read back from the stored streams."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """Digests of media columns whose samples are the bytes of a payload, read back from the stored streams block by block."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+    def digest(stream: bytes | None, blocks: list[tuple[int, int, int, bytes]], error: str | None) -> tuple:
+        stored = (None, None) if stream is None else (len(stream), hashlib.sha256(stream).hexdigest())
+        if error is not None:
+            return (None, None, None, *stored, None, error)
+        signed = np.frombuffer(b"".join(pcm for *_, pcm in blocks), dtype=np.int8)
+        payload = (signed.astype(np.int16) + 128).astype(np.uint8).tobytes()
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), *stored, feature(signed), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             streams = batch.column(2).to_pylist()
             for lo, hi in _groups(streams):
-                part, got = streams[lo:hi], [x for _, x, _ in decode_streams(streams[lo:hi])]
-                payloads = [(x.reshape(-1) + 128).astype(np.uint8).tobytes() for x in got]
-                columns = [
-                    batch.column(0)[lo:hi],
-                    batch.column(1)[lo:hi],
-                    pa.array([len(p) for p in payloads], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()),
-                    pa.array([zlib.crc32(p[-ALIGN:]) for p in payloads], pa.int64()),
-                    pa.array([len(m) for m in part], pa.int64()),
-                    pa.array([hashlib.sha256(m).hexdigest() for m in part], pa.string()),
-                    pa.array([feature(x) for x in got], pa.string()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+                rows = [digest(x, *got) for x, got in zip(streams[lo:hi], decoded_blocks(streams[lo:hi]), strict=True)]
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], *columns], names=names)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), schema)
 
 
 def op1_flac_media(spark, sf_dir: str) -> DataFrame:
