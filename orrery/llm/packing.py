@@ -9,7 +9,8 @@ Ranks need no global sort and no task per length: a piece is numbered within its
 checkpoint, and the tasks' counts per length are added up (one row per task and length).
 
 Edge cases: a null text is an empty one; an empty text is the end id alone (one piece of length 1); repeated rows are packed
-as often as they occur; null ids are carried through; an empty table gives no rows; other columns are ignored.
+as often as they occur; null ids are carried through; a text of any length is tokenized whole, its ids in memory at once; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut, read, small
+from orrery.llm.common import cut, read, small, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -80,7 +81,7 @@ class WordIds(dict):
         if len(self) >= CACHE_WORDS:
             self.clear()
         core = word.rstrip(_TAIL)
-        if core and core != word and core.isalpha():
+        if core and core != word and core.isalpha() and core.lower().isalpha():  # İ becomes a letter and a mark, which binds what follows
             ids = self[core] + self[word[len(core) :]]
         else:
             ids = self._ids(word)
@@ -103,17 +104,18 @@ def word_ids(path: str) -> WordIds:
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, emit_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, ids (null unless asked for), task, task_rank.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, ids (null unless asked for), row, task, task_rank.
 
-    task and task_rank number the pieces of equal length within a task; they hold only once the result is checkpointed.
+    task and task_rank number the pieces of equal length within a task, row the documents' rows, so that copies of a document
+    can be told apart; they hold only once the result is checkpointed.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task long, task_rank long"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, row long, task long, task_rank long"
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, task = word_ids(vocabulary_path(vocabulary)), Counter(), TaskContext.get().partitionId()
-        step = 4 * capacity
+        step, number = 4 * capacity, task << 40
         for batch in small(batches):
             rows: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -121,13 +123,14 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     n = len(part) // 4
-                    row = (doc_id, piece, at // 4, n, zlib.crc32(part), part if emit_ids else None, task, seen[n])
+                    row = (doc_id, piece, at // 4, n, zlib.crc32(part), part if emit_ids else None, number, task, seen[n])
                     seen[n] += 1
                     for column, value in zip(rows, row, strict=True):
                         column.append(value)
+                number += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), schema)
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -194,14 +197,15 @@ def take_slots(ranked: DataFrame, plan: np.ndarray) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, emit_ids: bool = False) -> DataFrame:
-    """Pieces with the sequence and offset they go to. With emit_ids, ``ids`` has each piece's ids (little-endian, 32 bits)."""
+    """Pieces with the sequence and offset they go to, and the row they come from. With emit_ids, ``ids`` has each piece's ids
+    (little-endian, 32 bits)."""
     pieces = cut(token_pieces(docs, capacity, vocabulary, emit_ids))
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = cut(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))))
     histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     ranked = pieces.join(bases.drop("n"), ["task", "length"]).withColumn("rank", F.col("base") + F.col("task_rank"))
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if emit_ids else [])]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if emit_ids else []), "row"]
     return take_slots(ranked.select(*columns, "rank"), plan_bins(histogram, capacity))
 
 
