@@ -1,9 +1,12 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 Words are added up per source, a repetition rate is derived for each, and every document is taken floor(rate) times plus once
-more if its hash-seeded uniform number lies below the rate's fraction. Which seed a source uses is chosen among ``DRAWS``
-seeds: the one whose draw brings the source's words nearest to its target. So the draws stay reproducible, independent of
-partitioning, and the totals stay near the targets even for sources of a few documents.
+more if its hash-seeded uniform number reaches 1 minus the rate's fraction: a Bernoulli copy whose probability is the fraction.
+Independent numbers would leave a source of a few documents of unlike length far from its target, so the numbers of one source
+are spread: v = frac(place * fraction + u), u being the source's own hash number and place the document's in the order of sizes.
+Over the seeds v is uniform for every document, so the probabilities stay as they are; but of documents that follow one another in
+size the share that is taken is the fraction, so the words come near the target. Place is the number of smaller documents, which
+a histogram of sizes tells (7 leading bits: at most some 1400 rows a source), plus a hashed place among those of its size. Draws are reproducible and independent of partitioning.
 
 Targets: weights repeat over the sources in code-point order (null last); together the sources take ``share`` times all words;
 a target stops at ``cap`` times its source's size and the excess goes to the others by weight. That is filling water to one
@@ -25,22 +28,23 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
 SEED = "mix-1"
-#: Seeds among which each source chooses; four numbers of 32 bits come from one md5.
-DRAWS = 32
-#: A table of sources up to this many rows is broadcast; a longer one is joined by shuffling.
-BROADCAST_SOURCES = 50_000
+#: A histogram up to this many rows (about 60 bytes each) is broadcast; a longer one is joined by shuffling.
+BROADCAST_ROWS = 200_000
 
 
 def word_count(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _uniform(j: Column | int, seed: str) -> Column:
-    """The j-th number in [0, 1) of a document."""
-    j = F.lit(j) if isinstance(j, int) else j
-    block = F.floor(j / 4).cast("int").cast("string")
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), block).cast("binary"))
-    return F.conv(F.substring(digest, F.lit(1) + 8 * (j % 4).cast("int"), F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
+def size_class(size: str = "size") -> Column:
+    """The size without what lies behind its 7 leading bits."""
+    behind = F.expr(f"shiftleft(1L, greatest(length(bin({size})) - 7, 0))")
+    return F.col(size) - F.col(size) % behind
+
+
+def _uniform(seed: str, of: Column) -> Column:
+    """The number in [0, 1) of a string."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), of).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -66,48 +70,43 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return sources.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
-def _with_sources(df: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
-    right = sources.withColumnRenamed("source", "_source")
-    right = F.broadcast(right) if rows <= BROADCAST_SOURCES else right
-    return df.join(right, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-
+def mixing_plan(sized: DataFrame, seed: str = SEED, **options) -> DataFrame:
+    """One row per source and class of sizes: source, sizes, source_size, target, rate, u (the source's number), before and n
+    (documents of smaller classes, and of this one). ``sized`` has source and size."""
+    counts = cut(sized.groupBy("source", size_class().alias("sizes")).agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+    sources = source_targets(counts, **options).withColumn("u", _uniform(seed, F.concat(F.lit("source:"), F.coalesce("source", F.lit("")))))
+    smaller = Window.partitionBy("source").orderBy("sizes").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(smaller), F.lit(0))).drop("size")
+    sources = sources.withColumnRenamed("source", "of_source")
+    return cut(counts.join(sources, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source"))
 
-def mixing_plan(sized: DataFrame, seed: str = SEED, **options) -> tuple[DataFrame, int]:
-    """The sources with source_size, target, rate and the chosen draw, and their number."""
-    sources = cut(source_targets(sized, **options))
-    rows = sources.count()
-    extra = F.col("rate") - F.floor("rate")
-    drawn = _with_sources(sized, sources, rows)
-    sums = [F.sum(F.col("size") * (F.floor("rate") + (_uniform(j, seed) < extra).cast("long"))).alias(f"taken{j}") for j in range(DRAWS)]
-    off = drawn.groupBy("source").agg(*sums, F.first("target").alias("target"))
-    misses = F.array(*[F.abs(F.col(f"taken{j}") - F.col("target")) for j in range(DRAWS)])
-    best = off.select(F.col("source").alias("_best"), (F.array_position(misses, F.array_min(misses)) - 1).cast("int").alias("draw"))
-    plan = sources.join(best, F.col("source").eqNullSafe(F.col("_best")), "left").drop("_best")
-    return cut(plan), rows
 
-
-def copies(draw: str = "draw", seed: str = SEED) -> Column:
-    """How often a document with rate and draw is taken."""
-    return (F.floor("rate") + (_uniform(F.col(draw), seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+def mixed(sized: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
+    """``sized`` (source, size and others) with the struct ``_mix`` of the plan's columns and copies, how often a row is taken."""
+    found = plan.select(F.struct("source", "sizes").alias("_of"), F.struct(*[c for c in plan.columns if c not in ("source", "sizes")]).alias("_plan"))
+    found = F.broadcast(found) if plan.count() <= BROADCAST_ROWS else found
+    joined = sized.join(found, F.struct("source", size_class().alias("sizes")).eqNullSafe(F.col("_of")), "left")
+    at = lambda name: F.col(f"_plan.{name}")
+    fraction = at("rate") - F.floor(at("rate"))
+    own = _uniform(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    place = (at("before") + F.floor(at("n").cast("double") * own)).cast("double") * fraction + at("u")
+    taken = F.floor(at("rate")) + (place - F.floor(place) >= F.lit(1.0) - fraction).cast("long")
+    return joined.withColumn("_mix", F.struct("_plan.*", taken.cast("long").alias("copies"))).drop("_of", "_plan")
 
 
 def mix_digest(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies."""
     sized = cut(docs.select("doc_id", "source", word_count().alias("size")))
-    plan, rows = mixing_plan(sized, seed, **options)
-    out = _with_sources(sized, plan, rows).withColumn("copies", copies(seed=seed))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    out = mixed(sized, mixing_plan(sized, seed, **options), seed)
+    return out.select("doc_id", "size", "_mix.source_size", "_mix.target", (F.col("_mix.copies") * F.col("size")).alias("taken"), "_mix.copies")
 
 
 def mix_documents(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; columns as given."""
-    sized = cut(docs.select("doc_id", "source", word_count().alias("size")))
-    plan, rows = mixing_plan(sized, seed, **options)
-    chosen = plan.select(F.col("source"), F.col("rate").alias("_rate"), F.col("draw").alias("_draw"))
-    joined = _with_sources(docs, chosen, rows)
-    times = (F.floor("_rate") + (_uniform(F.col("_draw"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int")
-    repeated = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times)))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = mixing_plan(docs.select("source", word_count().alias("size")), seed, **options)
+    whole = docs.select("doc_id", "source", word_count().alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    repeated = mixed(whole, plan, seed).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int"))))
+    return repeated.select("_row.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
@@ -135,15 +134,17 @@ WITH sized AS (
 ), rated AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
-), drawn AS (
-  SELECT r.*, j, CAST(floor(rate) AS BIGINT) + CAST(
-    CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(j // 4 AS VARCHAR)), CAST(1 + 8 * (j % 4) AS BIGINT), 8) AS BIGINT) / 4294967296.0::DOUBLE
-    < rate - floor(rate) AS BIGINT) AS copies
-  FROM rated r, range({DRAWS}) AS x(j)
-), chosen AS (
-  SELECT source, arg_min(j, (off, j)) AS draw FROM (
-    SELECT source, j, abs(sum(size * copies) - any_value(target)) AS off FROM drawn GROUP BY source, j) GROUP BY source
+), counts AS (
+  SELECT source, size - size % (1::BIGINT << greatest(length(bin(size)) - 7, 0)) AS sizes, count(*) AS n FROM sized GROUP BY ALL
+), placed AS (
+  SELECT source, sizes, n, coalesce(sum(n) OVER (PARTITION BY source ORDER BY sizes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counts
+), numbered AS (
+  SELECT r.*, rate - floor(rate) AS fraction,
+         CAST('0x' || substr(md5('{SEED}:source:' || coalesce(r.source, '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u,
+         p.before::DOUBLE + floor(p.n::DOUBLE * (CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)) AS place
+  FROM rated r JOIN placed p ON r.source IS NOT DISTINCT FROM p.source AND r.size - r.size % (1::BIGINT << greatest(length(bin(r.size)) - 7, 0)) = p.sizes
 )
-SELECT d.doc_id, d.size, d.source_size, d.target, CAST(d.copies * d.size AS BIGINT) AS taken
-FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.j = c.draw
+SELECT doc_id, size, source_size, target,
+       CAST(size * (CAST(floor(rate) AS BIGINT) + CAST(place * fraction + u - floor(place * fraction + u) >= 1.0::DOUBLE - fraction AS BIGINT)) AS BIGINT) AS taken
+FROM numbered
 """
