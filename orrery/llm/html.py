@@ -10,7 +10,8 @@ region with the greatest score. Its blocks, without the parts of the last kind,
 White space inside a block becomes one space, character references are decoded once, blocks are joined by an empty line.
 
 Edge cases: a null page is an empty one, an empty page or one without words has an empty text; broken markup never fails: a tag
-that is not closed ends with the page, a closing tag closes the innermost open element of its name; no labelled page: built-in
+that is not closed ends with the page, a closing tag closes the innermost open element of its name, a head that is not closed
+ends where something else begins; pages of any length are read once, in time that grows in proportion; no labelled page: built-in
 counts alone give the weights; repeated rows are kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -32,13 +33,13 @@ from orrery.llm.common import read, small
 #: Labelled pages that are learned from at most.
 SAMPLE = 2000
 #: Elements whose content is not text.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option button audio video head".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas select option button audio video head".split())
 #: Elements that hold no main text.
 APART = frozenset("nav header footer aside form dialog menu fieldset".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that do not end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder mstyle semantics a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 #: Words of a class, id or role that mark an element as apart.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs header masthead "
@@ -48,8 +49,15 @@ _MARKS = frozenset(
 )
 #: A container with one of these words is the page's body even if a mark is among its words.
 _BODY = frozenset("article content main body post entry story page wrapper container layout site".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: What a tag begins with; its attributes are read by _tag_end.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)", re.S)
+_STOP = re.compile("[>\"']")
+#: Elements that may stand in a head; any other one closes it.
+_HEAD = frozenset("head title meta link script style noscript base template".split())
+#: Elements that end an open one of their name.
+_SINGLE = frozenset("p li dt dd tr td th".split())
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_CLOSE = {x: re.compile(rf"</{x}", re.I) for x in ("script", "style", "textarea", "title")}
 _SPLIT = re.compile(r"[^a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: Counts (inside, outside) that stand for labelled pages of the usual kind.
@@ -69,6 +77,19 @@ class Token:
     marked: bool  # inside an article or main element
 
 
+def _tag_end(page: str, at: int, unclosed: set[str]) -> int:
+    """Where the tag's > stands, or the page's end. A quote that nothing closes is a character like others; ``unclosed`` keeps
+    such quotes, so that none is looked for twice."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        close = -1 if m[0] in unclosed else page.find(m[0], m.end())
+        if close < 0:
+            unclosed.add(m[0])
+        at = max(close + 1, m.end())
+    return len(page)
+
+
 def _ends_block(name: str) -> bool:
     return name not in INLINE and name not in RAW
 
@@ -89,16 +110,51 @@ def _is_apart(name: str, attrs: str, in_marked: bool) -> bool:
     return False
 
 
+class _Open:
+    """The open elements, found by name and by whether they are inline, without walking through them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, raw, apart, link, marked
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.raw = self.apart = self.link = self.marked = 0
+
+    def _count(self, e: tuple[str, bool, bool, bool, bool], by: int) -> None:
+        self.raw, self.apart, self.link, self.marked = (x + by * y for x, y in zip((self.raw, self.apart, self.link, self.marked), e[1:], strict=True))
+
+    def push(self, e: tuple[str, bool, bool, bool, bool]) -> None:
+        self.places.setdefault(e[0], []).append(len(self.stack))
+        if e[0] not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(e)
+        self._count(e, 1)
+
+    def cut(self, k: int) -> None:
+        """Closes the k-th element and those within it."""
+        while len(self.stack) > k:
+            e = self.stack.pop()
+            self.places[e[0]].pop()
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+            self._count(e, -1)
+
+    def last(self, name: str) -> int:
+        return self.places[name][-1] if self.places.get(name) else -1
+
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+
 def tokens(page: str) -> list[Token]:
     out: list[Token] = []
-    # for each open element: its name, whether it is raw, apart, a link, marked
-    open_: list[tuple[str, bool, bool, bool, bool]] = []
-    raw = apart = link = marked = 0
-    at = 0
+    open_, unclosed, at = _Open(), set(), 0
 
     def text(part: str) -> None:
-        if part and not raw:
-            out.append(Token("", part, apart > 0, link > 0, False, marked > 0))
+        if part and not open_.raw:
+            out.append(Token("", part, open_.apart > 0, open_.link > 0, False, open_.marked > 0))
+
+    def tag(name: str) -> None:
+        out.append(Token(name, "", open_.apart > 0, open_.link > 0, _ends_block(name), open_.marked > 0))
 
     while (m := _TOKEN.search(page, at)) is not None:
         text(page[at : m.start()])
@@ -107,38 +163,28 @@ def tokens(page: str) -> list[Token]:
             text(m["cdata"])
         if not m["name"]:
             continue
-        name = m["name"].lower()
+        name, end = m["name"].lower(), _tag_end(page, at, unclosed)
+        attrs, at = page[at:end], end + 1
+        if name not in _HEAD and (k := open_.last("head")) >= 0 and not m["end"] and not any(open_.last(x) > k for x in ("script", "style", "noscript", "template", "title")):
+            open_.cut(k)
         if m["end"]:
-            k = len(open_) - 1
-            while k >= 0 and open_[k][0] != name:
-                k -= 1
+            k = open_.last(name)
             # an inline end tag doesn't close blocks around it
-            if k >= 0 and not (name in INLINE and any(e[0] not in INLINE for e in open_[k + 1 :])):
-                for e in open_[k:]:
-                    raw, apart, link, marked = raw - e[1], apart - e[2], link - e[3], marked - e[4]
-                del open_[k:]
-            if not raw:
-                out.append(Token(name, "", apart > 0, link > 0, _ends_block(name), marked > 0))
+            if k >= 0 and not (name in INLINE and open_.last_block() > k):
+                open_.cut(k)
+            if not open_.raw:
+                tag(name)
             continue
-        is_raw, is_apart = name in RAW, _is_apart(name, m["attrs"], marked > 0)
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th") and open_:  # such an element ends an open one of its kind
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    for e in open_[k:]:
-                        raw, apart, link, marked = raw - e[1], apart - e[2], link - e[3], marked - e[4]
-                    del open_[k:]
-                    break
-                if open_[k][0] not in INLINE:
-                    break
-        if name not in VOID and not m["attrs"].endswith("/"):
-            e = (name, is_raw, is_apart, name == "a", name in ("article", "main"))
-            open_.append(e)
-            raw, apart, link, marked = raw + e[1], apart + e[2], link + e[3], marked + e[4]
+        is_raw, is_apart = name in RAW, _is_apart(name, attrs, open_.marked > 0)
+        if name in _SINGLE and (k := open_.last_block()) >= 0 and open_.stack[k][0] == name:
+            open_.cut(k)
+        if name not in VOID and not attrs.endswith("/"):
+            open_.push((name, is_raw, is_apart, name == "a", name in ("article", "main")))
             if name in ("script", "style", "textarea", "title"):  # their content is no markup
-                close = re.compile(rf"</{name}", re.I).search(page, at)
+                close = _CLOSE[name].search(page, at)
                 at = close.start() if close else len(page)
-        if not raw or is_raw:
-            out.append(Token(name, "", apart > 0, link > 0, _ends_block(name), marked > 0))
+        if not open_.raw or is_raw:
+            tag(name)
     text(page[at:])
     return out
 
