@@ -119,6 +119,62 @@ OTHERS = (
     ("copyright", "copyright(?: c)? (?:19|20)[0-9]{2}", 5, 0.4),
     ("no-warranty", "without warranty of any kind", 5, 0.3),
     ("proprietary", "proprietary and confidential", 3, 0.8),
+    # openings, clauses and notices of license texts
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell", 2, 0.95),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 2, 0.95),
+    ("mit-0", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is", 1, 0.95),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 1, 1.0),
+    ("apache-2.0", "you may obtain a copy of the license at https? www apache org licenses license 2 0", 1, 1.0),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 2, 0.9),
+    ("apache-1.1", "this product includes software developed by the apache software foundation", 2, 0.8),
+    ("gpl-2.0", "gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", 1, 1.0),
+    ("gpl-3.0", "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", 1, 1.0),
+    ("gpl-2.0", "gnu general public license version 2 june 1991", 1, 1.0),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007", 1, 1.0),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", 2, 0.95),
+    ("gpl", "the licenses for most software are designed to take away your freedom to share and change it", 2, 0.9),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999", 1, 1.0),
+    ("lgpl-3.0", "gnu lesser general public license version 3 29 june 2007", 1, 1.0),
+    ("lgpl", "gnu (?:lesser|library) general public license as published by the free software foundation", 2, 0.95),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license along with this library", 2, 0.95),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007", 1, 1.0),
+    ("agpl", "gnu affero general public license as published by the free software foundation", 2, 0.95),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 2, 0.95),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", 1, 1.0),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", 1, 1.0),
+    ("mpl-1.0", "the contents of this file are subject to the mozilla public license version 1 0", 1, 1.0),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license", 2, 0.95),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", 1, 1.0),
+    ("epl-1.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", 1, 1.0),
+    ("bsd-3-clause", "neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse or promote products derived from this software", 2, 0.95),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 2, 0.95),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 3, 0.9),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", 3, 0.9),
+    ("bsd", "this software is provided by the copyright holders? and contributors as is and any express or implied warranties", 3, 0.85),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is", 1, 0.95),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", 2, 0.9),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 2, 0.95),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 2, 0.95),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 2, 0.95),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 1, 1.0),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", 2, 0.95),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", 1, 1.0),
+    ("cc0-1.0", "to the extent possible under law (?:[^ ]+ ){1,12}waived all copyright and related or neighboring rights", 2, 0.95),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", 1, 1.0),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution share ?alike 4 0 international license", 1, 1.0),
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution non ?commercial 4 0 international license", 1, 1.0),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", 1, 1.0),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 1, 0.95),
+    ("openssl", "this product includes cryptographic software written by eric young", 2, 0.9),
+    ("python-2.0", "psf is making python available to licensee on an as is basis", 1, 0.95),
+    ("artistic-2.0", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", 4, 0.5),
+    ("eupl-1.2", "licensed under the eupl(?: version 1 2)?", 2, 0.9),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license", 2, 0.9),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited", 2, 0.9),
+    ("proprietary", "no part of this (?:publication|work|document|book) may be reproduced(?: stored| distributed| or transmitted)?", 3, 0.8),
+    ("no-warranty", "this (?:program|library) is distributed in the hope that it will be useful but without any warranty", 4, 0.5),
+    ("no-warranty", "the software is provided as is without warranty of any kind express or implied", 4, 0.4),
+    ("copyleft-notice", "see the gnu (?:lesser |affero )?general public license for more details", 4, 0.7),
 )
 
 
@@ -202,6 +258,11 @@ def _prefilter() -> tuple[str, ...]:
 PREFILTER = _prefilter()
 
 
+def _lower(column: str) -> Column:
+    """A-Z lower-cased, as far as rules and words can tell: of other letters only U+212A would become an ASCII one, so it is put aside."""
+    return F.lower(F.replace(F.col(column), F.lit("\u212a"), F.lit("\u0138")))
+
+
 def _places(words: Column, phrase: tuple[str, ...]) -> Column:
     """Indices at which the phrase stands in an array of words."""
     last = F.size(words) - len(phrase)
@@ -264,7 +325,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     for word in PREFILTER:
         passes = passes | F.col("_spaced").contains(word)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text"))
-    rows = rows.withColumn("_spaced", F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("_text"), SEPARATORS, " ")), F.lit(" ")))
+    rows = rows.withColumn("_spaced", F.concat(F.lit(" "), F.trim(F.regexp_replace(_lower("_text"), SEPARATORS, " ")), F.lit(" ")))
     n_words = F.when(F.col("_spaced") == "  ", 0).otherwise(_spaces(F.col("_spaced")) - 1)
     rows = rows.select("doc_id", n_words.cast("long").alias("n_words"), F.when(passes, F.col("_spaced")).alias("_spaced"))
     words = F.split(F.trim(F.col("_spaced")), " ")

@@ -74,6 +74,18 @@ def test_flac_blocks_seek_and_damage(docs):
         flac.decode_streams([bytes(stream)])
 
 
+def test_flac_damage_stays_in_its_row(spark):
+    rows = [(1, "some words " * 300), (2, "other words " * 300), (3, "more"), (4, None)]
+    media = flac.encode_media(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    damage = {2: lambda x: x[:300] + bytes([x[300] ^ 1]) + x[301:], 3: lambda x: x[:20], 4: lambda x: None}
+    broken = spark.createDataFrame([(r["doc_id"], r["n_bytes"], damage.get(r["doc_id"], bytes)(bytes(r["media"]))) for r in media], "doc_id long, n_bytes long, media binary").coalesce(1)
+    got = {r["doc_id"]: r for r in flac.media_digests(broken).collect()}
+    assert got[1]["error"] is None and got[1]["payload_sha256"] == hashlib.sha256(flac.padded(rows[0][1])).hexdigest()
+    assert all(got[k]["error"] and got[k]["payload_sha256"] is None for k in (2, 3, 4))
+    blocks = flac.pcm_blocks(broken).collect()
+    assert b"".join(r["pcm"] for r in blocks if r["doc_id"] == 1) == bytes(b ^ 0x80 for b in flac.padded(rows[0][1])) and sum(r["error"] is not None for r in blocks) == 3
+
+
 def test_flac_noise_and_constants():
     rng = np.random.default_rng(1)
     payloads = [rng.integers(0, 256, 64 * k, dtype=np.uint8).tobytes() for k in (1, 15, 16, 17, 40)] + [b"\x80" * 4096, bytes(range(256)) * 9]
@@ -263,6 +275,17 @@ def test_word_ids_equal_the_tokenizer(text):
     assert w.text(text) == w.whole(text)
 
 
+def test_word_ids_of_random_characters():
+    w = packing.WordIds(packing.vocabulary_path())
+    rng = np.random.default_rng(12)
+    alphabet = list("abKİIıßéÉ.,;:!?|#$%&*'-_0129²½ﬁǅ漢ि\u0301\u0307\u212a\u200d🙂 \t\x85\xa0\u3000")
+    for _ in range(4000):
+        text = "".join(rng.choice(alphabet, rng.integers(1, 12)))
+        assert w.text(text) == w.whole(text), text
+    for text in ("BELEDİYESİ,", "Lİ.", "İ", "x\u0307.", "é\u0301!"):
+        assert w.text(text) == w.whole(text)
+
+
 # --- op5 ---
 
 
@@ -276,6 +299,29 @@ def test_mixing(docs, empty):
     assert mixing.mix_digest(empty).count() == 0
 
 
+def test_clashing_names_stay(docs):
+    wide = docs
+    for c in ("_rate", "_copy", "_source", "size", "rate", "_mix", "_plan", "sizes", "copies", "n", "u", "before"):
+        wide = wide.withColumn(c, docs["score"])
+    got = mixing.mix_documents(wide)
+    assert got.columns == wide.columns and got.count() == mixing.mix_documents(docs).count()
+
+
+def test_draws_keep_each_document_s_probability(spark):
+    rows = [(k, "s" if k % 3 else "t", " ".join("w" for _ in range(1 + (k * 37) % 121))) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").cache()
+    taken, n = Counter(), 12
+    for seed in range(n):
+        got = mixing.mix_digest(df, f"seed-{seed}").collect()
+        rates = {r["source_size"]: r["target"] / r["source_size"] for r in got}
+        for size, rate in rates.items():
+            assert abs(sum(r["taken"] for r in got if r["source_size"] == size) - rate * size) <= 150  # about one document; independent draws have a deviation of 300
+        for r in got:
+            taken[r["doc_id"], rates[r["source_size"]] % 1] += r["copies"] - int(rates[r["source_size"]])
+    z = [(c - n * f) / (n * f * (1 - f)) ** 0.5 for (_, f), c in taken.items() if 0 < f < 1]
+    assert z and abs(np.mean(z)) < 0.5 and np.max(np.abs(z)) < 5
+
+
 def test_targets_by_repeated_sharing(spark):
     sizes = {"a": 100, "b": 1000, "c": 50, "d": 4000, None: 10}
     df = spark.createDataFrame(list(sizes.items()), "source string, size long")
@@ -304,6 +350,22 @@ def test_html(spark):
     assert (got[2], got[3], got[4], got[5]) == ("", "", "open bold", "plain words only")
 
 
+@pytest.mark.parametrize("page", ["<a " * 60_000 + '"', "<div><b>" * 40_000 + "x", "<b>" * 40_000 + "<p>x</p>" * 40_000, "<i>" * 40_000 + "</u>" * 40_000, "<p a='" * 50_000, '<a class="' * 50_001, "<!--" * 50_000, "<![CDATA[" * 50_000, "</" * 100_000, "&" * 200_000])
+def test_pages_take_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    html.main_text(page, html.Weights.of_counts({}, {}))
+    assert time.process_time() - began < 15
+
+
+def test_unclosed_head_and_formulas():
+    w = html.Weights.of_counts({}, {})
+    page = "<html><head><title>T</title><meta x><body><article><p>One two three four five.</p><p>Area <math><mi>r</mi></math> of six words here.</p></article></body>"
+    assert html.main_text(page, w) == "One two three four five.\n\nArea r of six words here."
+    assert html.main_text("<head><title>T</title><p>Some words that stay here.", w) == "Some words that stay here."
+
+
 def test_region_by_force():
     rng = np.random.default_rng(4)
     for _ in range(50):
