@@ -26,21 +26,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays, once.
 
-    A row is kept if its id is its component's; of repeated rows of that id the first by text stays. Rows without an id stay.
+    Texts are not shuffled: of each id that isn't its component's all rows go. Rows without an id stay. Ids are unique in documents;
+    rows that share one are set apart, those with equal texts become one, and what has no near copy among the rows that stay, stays.
     """
     found = cut(jaccard.jaccard_components(docs))
     release(spark)
-    dropped = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
-    if dropped.count() <= BROADCAST_IDS:  # else texts are shuffled to the ids
-        dropped = F.broadcast(dropped)
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    dropped = found.where("doc_id <> component_id").join(repeated, "doc_id", "left_anti").select("doc_id")
+    gone = cut(dropped.union(repeated).distinct())
+    if gone.count() <= BROADCAST_IDS:  # else texts are shuffled to the ids
+        gone = F.broadcast(gone)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(gone, "doc_id", "left_anti").select(*names)
     if repeated.isEmpty():
         return kept
-    single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    first = F.min_by(F.struct(*docs.columns), F.struct("text", *[c for c in docs.columns if c != "text"]))
-    again = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
-    return single.union(again.select(*docs.columns))
+    again = docs.join(repeated, "doc_id", "left_semi").select("doc_id", F.struct(*names).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    # they get numbers of their own above those of the rows that stay
+    numbered = cut(again.groupBy("doc_id", "h").agg(F.first("row").alias("row")).withColumn("number", F.monotonically_increasing_id()))
+    heads = kept.select((-1 - F.monotonically_increasing_id()).alias("doc_id"), "text").union(numbered.select("number", "row.text"))
+    own = jaccard.jaccard_components(heads).where("doc_id >= 0 and doc_id = component_id").select(F.col("doc_id").alias("number"))
+    return kept.union(numbered.join(own, "number", "left_semi").select("row.*").select(*names))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +59,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with the sequence and offset where they go."""
-    return packing.pack_documents(docs)
+    """Token pieces, with their ids, the document's row and the sequence and offset where they go."""
+    return packing.pack_documents(docs, emit_ids=True)
 
 
 STAGES = [
