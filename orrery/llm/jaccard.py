@@ -45,6 +45,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -277,65 +278,102 @@ def class_tokens(docs: DataFrame, t: Threshold, needed: Bloom) -> DataFrame:
     return docs.select("text").mapInArrow(tidy(run), "cls long, chk long, tokens binary")
 
 
-def shared_tokens(docs: DataFrame, t: Threshold, needed: Bloom) -> DataFrame:
+def shared_tokens(docs: DataFrame, t: Threshold, needed: Bloom, total: int) -> DataFrame:
     """(cls, bound, n) of the classes in the filter: at least as many as a class has tokens that some other such class has too, and its size.
 
-    A task counts what its own classes share; it sends each token once, with its class, or without one if it was counted. A
-    class that several tasks have shares its tokens with itself, which only raises its bound.
+    A task takes its classes in chunks. It counts what the classes of a chunk share, and sends each token once, with its class's
+    number in the chunk, or with ``nobody`` if it was counted: 6 bytes a token, in packed arrays of a chunk and a bucket of tokens.
+    Buckets are as many as keep each to about 2**20 of ``total`` tokens. Only 32 bits are kept of a token besides its bucket; tokens
+    that then look alike, like a class that several chunks have, only raise a bound.
     """
     shared = docs.sparkSession.sparkContext.broadcast(needed)
-    names = ["counted", "key", "cls", "n"]
-    nobody = np.int64(0)
+    depth = max(4, (max(total, 1) >> 20).bit_length())
+    nobody, most = 0xFFFF, 0xFFF0
+    schema = "bucket long, chunk long, left binary, right binary"
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def emit(counted: bool, key: np.ndarray, value: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), counted)), pa.array(key), pa.array(value), pa.array(n.astype(np.int32))], names=names)
+    def emit(rows: list[tuple[int | None, int, bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=names)
 
-    def flush(sets: list[np.ndarray], classes: list[int]) -> Iterator[pa.RecordBatch]:
+    def flush(chunk: int, sets: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
+        """The chunk's own row (no bucket): classes, and pairs of what they share here and their size; then a row for each bucket."""
         who = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
-        token, first, which, times = np.unique(np.concatenate(sets).view(np.int64), return_index=True, return_inverse=True, return_counts=True)
-        cls = np.array(classes, dtype=np.int64)
+        token, first, which, times = np.unique(np.concatenate(sets), return_index=True, return_inverse=True, return_counts=True)
         own = np.bincount(who[times[which] > 1], minlength=len(sets))
-        yield emit(True, cls, own, np.array([len(x) for x in sets]))
-        yield emit(False, token, np.where(times > 1, nobody, cls[who[first]]), np.zeros(len(token)))
+        cls = np.array(classes, dtype="<i8")
+        number = np.where(times > 1, nobody, who[first]).astype("<u2")
+        short = (token >> np.uint64(32 - depth) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        bucket = (token >> np.uint64(64 - depth)).astype(np.int64)
+        at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        sizes = np.array([len(x) for x in sets], dtype="<i8")
+        return emit([(None, chunk, cls.tobytes(), np.concatenate((own.astype("<i8"), sizes)).tobytes())] + [(int(bucket[lo]), chunk, short[lo:hi].tobytes(), number[lo:hi].tobytes()) for lo, hi in zip(at[:-1], at[1:], strict=True)])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, classes, held = [], [], 0
+        sets, classes, held, chunk = [], [], 0, TaskContext.get().partitionId() << 32
         for cls, tokens in _needed_sets(batches, t, shared.value):
             sets.append(tokens)
             classes.append(cls)
             held += len(tokens)
-            if held >= CHUNK:
-                yield from flush(sets, classes)
-                sets, classes, held = [], [], 0
+            if held >= CHUNK or len(sets) >= most:
+                yield flush(chunk, sets, classes)
+                sets, classes, held, chunk = [], [], 0, chunk + 1
         if sets:
-            yield from flush(sets, classes)
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counts(cls: np.ndarray, shared: np.ndarray | int, n: np.ndarray | int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(cls), *(pa.array(np.broadcast_to(np.asarray(x, dtype=np.int64), len(cls))) for x in (shared, n))], names=["cls", "bound", "n"])
-
-        def of_tokens(key: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-            """A row for each token that its class shares; they are added up before they are shuffled."""
-            _, which, times = np.unique(key, return_inverse=True, return_counts=True)
-            known = np.bincount(which[cls == nobody], minlength=len(times)) > 0
-            return counts(cls[((times > 1) | known)[which] & (cls != nobody)], 1, 0)
-
-        key, cls = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            yield flush(chunk, sets, classes)
+
+    def in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks' own rows as they are; of each bucket and chunk the classes' numbers and how many tokens they share."""
+
+        def solve(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+            parts = [np.frombuffer(r[1], dtype="<u4") for r in rows]
+            _, which, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            ends, out = np.cumsum([len(x) for x in parts]), []
+            for (chunk, _, number), x, end in zip(rows, parts, ends, strict=True):
+                numbers = np.frombuffer(number, dtype="<u2")
+                found, n = np.unique(numbers[(times[which[end - len(x) : end]] > 1) & (numbers != nobody)], return_counts=True)
+                if len(found):
+                    out.append((0, chunk, found.astype("<u2").tobytes(), n.astype("<u4").tobytes()))
+            return emit(out)
+
+        here, rows = None, []
         for batch in batches:
-            counted = np.asarray(batch.column(0))
-            k, c = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-            if counted.any():
-                yield counts(k[counted], c[counted], np.asarray(batch.column(3))[counted])
-            key, cls = np.concatenate((key, k[~counted])), np.concatenate((cls, c[~counted]))
-            if len(key):
-                done = key != key[-1]
-                yield of_tokens(key[done], cls[done])
-                key, cls = key[~done], cls[~done]
-        if len(key):
-            yield of_tokens(key, cls)
-
-    rows = docs.select("text").mapInArrow(tidy(local), "counted boolean, key long, cls long, n int")
-    rows = rows.repartition("key").sortWithinPartitions("counted", "key").mapInArrow(tidy(total), "cls long, bound long, n long")
+            heads = []
+            for bucket, chunk, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket is None:
+                    heads.append((None, chunk, left, right))
+                    continue
+                if bucket != here:
+                    if rows:
+                        yield solve(rows)
+                    here, rows = bucket, []
+                rows.append((chunk, left, right))
+            if heads:
+                yield emit(heads)
+        if rows:
+            yield solve(rows)
+
+    def in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each chunk first its own row, then what its classes share in buckets."""
+
+        def out(cls: np.ndarray, bound: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (cls, bound, sizes)], names=["cls", "bound", "n"])
+
+        here, cls, bound, sizes = None, None, None, None
+        for batch in batches:
+            for bucket, chunk, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket is None:
+                    if cls is not None:
+                        yield out(cls, bound, sizes)
+                    here, cls = chunk, np.frombuffer(left, dtype="<i8")
+                    bound, sizes = np.frombuffer(right, dtype="<i8").reshape(2, -1).copy()
+                elif chunk == here:
+                    bound[np.frombuffer(left, dtype="<u2")] += np.frombuffer(right, dtype="<u4")
+        if cls is not None:
+            yield out(cls, bound, sizes)
+
+    rows = docs.select("text").mapInArrow(tidy(local), schema)
+    place = F.when(F.col("bucket").isNull(), F.col("chunk")).otherwise(F.col("bucket"))
+    rows = rows.repartition(place).sortWithinPartitions("bucket").mapInArrow(tidy(in_buckets), schema)
+    rows = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("bucket").asc_nulls_first()).mapInArrow(tidy(in_chunks), "cls long, bound long, n long")
     return rows.groupBy("cls").agg(F.sum("bound").alias("bound"), F.max("n").alias("n"))
 
 
@@ -576,13 +614,13 @@ def group_links(tokens: DataFrame, members: DataFrame, t: Threshold) -> DataFram
     return units.mapInArrow(tidy(overlaps), "a long, b long").distinct()
 
 
-def class_components(docs: DataFrame, t: Threshold) -> DataFrame:
-    """(cls, chk, component class) of the classes that may link with another one."""
+def class_components(docs: DataFrame, t: Threshold, total: int) -> DataFrame:
+    """(cls, chk, component class) of the classes that may link with another one. total: all documents' shingles."""
     spark = docs.sparkSession
     edges = cut(candidate_edges(docs, t, texts=True))
     classes = cut(edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     release(spark)
-    bounds = shared_tokens(docs, t, bloom_of(classes, classes.count()))
+    bounds = shared_tokens(docs, t, bloom_of(classes, classes.count()), total)
     opened = cut(bounds.where(F.col("bound") * t.den >= F.col("n") * t.num).select("cls"))
     release(spark)
     again = class_tokens(docs, t, bloom_of(opened, opened.count()))
@@ -596,7 +634,8 @@ def class_components(docs: DataFrame, t: Threshold) -> DataFrame:
 def jaccard_components(docs: DataFrame, t: Threshold = NEAR_DUPLICATES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     classed = cut(document_classes(docs, t))
-    linked = cut(class_components(docs, t))
+    total = classed.agg(F.sum("n_shingles")).first()[0] or 0
+    linked = cut(class_components(docs, t, total))
     # one row per class before anything is joined; documents whose class is theirs alone are not looked up
     classes = classed.where("cls is not null").groupBy("cls", "chk").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     named = cut(classes.join(linked, ["cls", "chk"], "left").where("copies > 1 or component is not null"))
