@@ -290,14 +290,26 @@ class SparseLogisticRegression(Spec):
 
 
 def _lbfgs_fit(spec, data: Dataset, context: Context, start: np.ndarray, block: Callable[[np.ndarray, np.ndarray], np.ndarray], penalty: np.ndarray, target: Column | None = None) -> solvers.Trace:
-    """``block(theta, M)`` gives value and gradient of a block of rows."""
+    """``block(theta, M)`` gives value and gradient of a block of rows; the coefficients of the features come first.
+
+    What is minimised is the mean over the weights, with coefficients in units of their features' sizes, so that the tolerance means
+    the same for any number of rows and any units.
+    """
+    p = len(data.features)
     with held(data, target) as rows:
+        sums = partial_sums(rows, p + 1, lambda M: np.concatenate((M[:, -1] @ M[:, :p] ** 2, [M[:, -1].sum()])))
+        weight, units = max(float(sums[p]), 1e-300), np.ones(len(start))
+        units[:p] = np.where(sums[:p] > 0, np.sqrt(sums[:p] / weight), 1.0)
 
-        def objective(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        def objective(scaled: np.ndarray) -> tuple[float, np.ndarray]:
+            theta = scaled / units
             total = partial_sums(rows, 1 + len(start), lambda M: block(theta, M))
-            return total[0] + 0.5 * penalty @ theta**2, total[1:] + penalty * theta
+            return (total[0] + 0.5 * penalty @ theta**2) / weight, (total[1:] + penalty * theta) / units / weight
 
-        return solvers.lbfgs(objective, start, tolerance=context.tol(spec.tolerance), max_iterations=context.iterations(spec.max_iterations))
+        t = solvers.lbfgs(objective, start * units, tolerance=context.tol(spec.tolerance), max_iterations=context.iterations(spec.max_iterations))
+        t.parameters = t.parameters / units
+        t.history = [h * weight for h in t.history]
+        return t
 
 
 @dataclass(frozen=True)

@@ -272,8 +272,8 @@ class KMeans(Spec):
                     total = partial_sums(rows, k * p + k + 1, block)
                     sums, counts, inertia = total[: k * p].reshape(k, p), total[k * p : -1], total[-1]
                     new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1e-300)[:, None], C)
-                    for empty in np.flatnonzero(counts == 0):
-                        far = rows.orderBy(F.desc(F.least(*_nearest([f"x{i}" for i in range(p)], C)[0], F.lit(float("inf"))))).limit(int(empty) + 1).collect()[-1]
+                    for rank, empty in enumerate(np.flatnonzero(counts == 0)):
+                        far = rows.orderBy(F.desc(F.least(*_nearest([f"x{i}" for i in range(p)], C)[0], F.lit(float("inf"))))).limit(rank + 1).collect()[-1]
                         new[empty] = [far[f"x{i}"] for i in range(p)]
                     shift = ((new - C) ** 2).sum(axis=1).max()
                     C = new

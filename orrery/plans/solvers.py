@@ -88,8 +88,8 @@ def newton(step: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], s
 
 
 def lbfgs(objective: Objective, start: np.ndarray, memory: int = 10, tolerance: float = 1e-6, max_iterations: int = 500) -> Trace:
-    """Limited-memory BFGS with backtracking."""
-    x = start.copy()
+    """Limited-memory BFGS with backtracking; ends at a small gradient, or where the value no longer falls beyond its rounding."""
+    x, stalled = start.copy(), 0
     value, gradient = objective(x)
     trace = Trace(x, [value])
     past: list[tuple[np.ndarray, np.ndarray]] = []
@@ -121,11 +121,16 @@ def lbfgs(objective: Objective, start: np.ndarray, memory: int = 10, tolerance:
             trace.converged = np.abs(gradient).max(initial=0) <= 1e3 * tolerance
             break
         s, y = size * direction, new_gradient - gradient
+        gain, least = value - new_value, 4 * np.finfo(float).eps * max(1.0, abs(value))
+        stalled = stalled + 1 if gain <= least else 0
         x, value, gradient = x + s, new_value, new_gradient
         if s @ y > 1e-14:
             past = [*past[-(memory - 1) :], (s, y)]
         trace.history.append(value)
         trace.iterations = k
+        if stalled >= 2:  # the value no longer falls beyond its rounding
+            trace.converged = True
+            break
     trace.parameters = x
     return trace
 

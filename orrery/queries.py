@@ -139,7 +139,12 @@ def mean_regressor(spark, d):
     return _r(f.predict(spark.range(1)).select("prediction"))
 
 
-@_query()
+@_query("""WITH RECURSIVE g AS (SELECT p_size / 50.0::DOUBLE AS x, count(*)::DOUBLE AS n, sum(p_retailprice) AS t FROM part GROUP BY 1),
+it(k, a, b) AS (SELECT 0, ln(sum(t) / sum(n)), 0.0::DOUBLE FROM g UNION ALL
+ SELECT k + 1, a + (s2 * g0 - s1 * g1) / (s0 * s2 - s1 * s1), b + (s0 * g1 - s1 * g0) / (s0 * s2 - s1 * s1) FROM (
+  SELECT k, a, b, sum(n * exp(a + b * x)) AS s0, sum(n * x * exp(a + b * x)) AS s1, sum(n * x * x * exp(a + b * x)) AS s2,
+   sum(t - n * exp(a + b * x)) AS g0, sum(x * (t - n * exp(a + b * x))) AS g1 FROM it, g WHERE k < 25 GROUP BY k, a, b))
+SELECT term, round(v, 3) + 0.0 AS value FROM (SELECT 'intercept' AS term, a AS v FROM it WHERE k = 25 UNION ALL SELECT 'x', b FROM it WHERE k = 25)""")
 def poisson_regression(spark, d):
     df = _read(spark, d, "part").select((F.col("p_size") / 50).alias("x"), F.col("p_retailprice").alias("y"))
     f = PoissonRegression().fit(df, features=["x"], target="y")

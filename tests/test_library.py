@@ -15,7 +15,7 @@ from orrery import queries as library
 from orrery.core import REGISTRY, Context, Dataset, model_catalog
 from orrery.errors import GraphValidationError, InvalidHyperparameterError, PersistenceVersionError, SchemaMismatchError, UnsupportedDataError
 from orrery.operators.kernel_neural import KernelRidgeRegression, MLPClassifier
-from orrery.operators.linear import LinearRegression, LogisticRegression, MARSRegressor, MeanRegressor, RANSACRegression, RidgeRegression, SGDRegressor
+from orrery.operators.linear import GammaRegression, HuberRegression, LinearRegression, LogisticRegression, MARSRegressor, MeanRegressor, PoissonRegression, QuantileRegression, RANSACRegression, RidgeRegression, SGDRegressor, TweedieRegression
 from orrery.operators.meta import CalibratedClassifier, OneVsRestClassifier, StackingRegressor, VotingClassifier
 from orrery.operators.preprocess import Impute, OneHotEncode, PolynomialFeatures, Standardize
 from orrery.operators.probabilistic import GaussianNaiveBayes, LinearDiscriminantAnalysis
@@ -55,6 +55,21 @@ def test_least_squares_values(small, spec, weight, want):
     assert np.allclose([*f.coefficients, f.intercept], want, atol=1e-6)
 
 
+@pytest.mark.parametrize(("spec", "target", "want", "tolerance"), [
+    (PoissonRegression(), "p", (1.2594105129, 2.6904570378, 4.4329581815), 1e-4),
+    (GammaRegression(), "p", (1.1796072958, 2.6798520708, 4.5498203684), 1e-4),
+    (TweedieRegression(power=1.5), "p", (1.2171590509, 2.6761132746, 4.4771030632), 1e-4),
+    (QuantileRegression(), "r", (-1.9678082192, 1.6965753425, 4.4773972603), 0.1),
+    (HuberRegression(), "r", (-2.0490907094, 1.6981834022, 4.5612283417), 0.1),
+])
+def test_generalised_and_robust_values(spark, spec, target, want, tolerance):
+    X = [(-2.0, 0.5), (-1.5, 1.2), (-1.0, -0.4), (-0.5, 1.8), (0.0, 0.3), (0.5, -1.0), (1.0, 1.1), (1.5, -0.6), (2.0, 0.8), (2.5, -1.4), (3.0, 1.5), (3.5, -0.2)]
+    y = {"p": (0.8, 1.4, 1.1, 2.2, 2.0, 1.7, 3.5, 2.8, 4.6, 3.7, 6.2, 5.4), "r": (-2.7, -1.8, -1.9, -0.2, 0.1, 0.0, 2.2, 2.1, 4.0, 4.1, 12.0, 5.8)}[target]
+    f = spec.fit(spark.createDataFrame([(*x, v) for x, v in zip(X, y, strict=True)], "a double, b double, y double").coalesce(1), features=["a", "b"], target="y")
+    got = f.predict(spark.createDataFrame([(-1.25, 0.2), (0.75, 0.7), (2.75, -0.3)], "a double, b double").coalesce(1)).collect()
+    assert np.allclose([r["prediction"] for r in got], want, atol=tolerance, rtol=1e-4)
+
+
 def test_weights_equal_repeated_rows(small):
     repeated = small.withColumn("n", F.explode(F.expr("sequence(1, cast(w as int))")))
     for spec, y in ((LogisticRegression(0.5), "c"), (RidgeRegression(1.0), "y")):
