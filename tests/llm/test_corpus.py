@@ -196,15 +196,15 @@ def test_clusters_of_several_blocks_and_components(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "PIVOTS", 2)
     rng = np.random.default_rng(8)
     rows = []
-    for k in range(4):  # chains of edits drift away from where they began, so that a cluster has several components
+    for k in range(2):  # chains of edits drift away from where they began, so that a cluster has several components
         now = [f"b{i}" for i in range(60)]
-        for j in range(25):
+        for j in range(16):
             rows.append((100 * k + j, " ".join(now)))
             for at in rng.integers(0, len(now), rng.integers(0, 4)):
                 now[at] = f"x{k}_{j}_{at}"
-    for t in (jaccard.Threshold(90, 100, 3), jaccard.Threshold(80, 100, 2)):
-        got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), t).collect()
-        assert Counter(map(tuple, got)) == components_by_force(rows, t)
+    t = jaccard.Threshold(80, 100, 2)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), t).collect()
+    assert Counter(map(tuple, got)) == components_by_force(rows, t)
 
 
 def test_block_components_by_force():
