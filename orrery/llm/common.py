@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -45,6 +46,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def table(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table in the checkpoint folder, for frames that loops join with themselves.
+
+    A checkpoint keeps the estimated size of its plan, and the estimate of a join is the product of its sides: over the rounds of a
+    loop its digits double with each join, until planning alone takes minutes and the driver's heap. A table has its files' size.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of plans that are no longer referred to, now instead of at the next collection."""
     gc.collect()

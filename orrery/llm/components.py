@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut
+from orrery.llm.common import table
 
 
 def _hop(labels: DataFrame, up: DataFrame) -> DataFrame:
@@ -19,18 +19,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     In each round every node points to its least neighbour or itself, four such steps are taken at once, and the edges are moved
     to where their ends have come. That keeps what is connected connected and shrinks it; no edge is left when every component
-    has come to its smallest node. A round is three checkpointed plans; only whether edges are left reaches the driver.
+    has come to its smallest node. A round is three plans, each written as a table; only whether edges are left reaches the driver.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     labels = None
     while labels is None or not edges.isEmpty():
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("e")).select("e.*")
-        up = cut(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("label")))
+        up = table(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("label")))
         two = _hop(up, up)
-        up = cut(_hop(two, two))
-        labels = up if labels is None else cut(_hop(labels, up))
+        up = table(_hop(two, two))
+        labels = up if labels is None else table(_hop(labels, up))
         for x in "ab":
             edges = edges.join(up.select(F.col("node").alias(x), F.col("label").alias(f"to_{x}")), x)
         moved = edges.where("to_a <> to_b")
-        edges = cut(moved.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")).distinct())
+        edges = table(moved.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")).distinct())
     return labels
