@@ -228,6 +228,14 @@ def test_connected_components(spark):
     assert {r["node"]: r["label"] for r in connected_components(edges).collect()} == {**{k: 0 for k in range(21)}, 40: 40, 50: 40, 60: 40}
 
 
+def test_connected_components_keep_their_size_estimates_small(spark):
+    """Estimates that multiply from round to round end in minutes of planning and a full driver."""
+    edges = spark.createDataFrame([(k * 7 % 1009, (k + 1) * 7 % 1009) for k in range(1008)], "a long, b long")
+    labels = connected_components(edges)
+    assert {r["label"] for r in labels.collect()} == {0} and labels.count() == 1009
+    assert int(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 1 << 24
+
+
 # --- op4 ---
 
 
