@@ -233,7 +233,7 @@ def test_connected_components_keep_their_size_estimates_small(spark):
     edges = spark.createDataFrame([(k * 7 % 1009, (k + 1) * 7 % 1009) for k in range(1008)], "a long, b long")
     labels = connected_components(edges)
     assert {r["label"] for r in labels.collect()} == {0} and labels.count() == 1009
-    assert int(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 1 << 24
+    assert int(str(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 24
 
 
 # --- op4 ---
