@@ -1,12 +1,14 @@
-"""Evaluation of predictions, as small DataFrames that are computed by aggregates and windows over distinct scores."""
+"""Evaluation of predictions, as small DataFrames that are computed by aggregates and running sums over distinct scores."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.plans.ordering import running_sums, with_previous
+
 
 def _w(weight: str | None) -> Column:
     return F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -57,8 +59,8 @@ def _by_threshold(df: DataFrame, y: str, score: str, positive, weight: str | Non
     """One row per distinct score: true and false positives at or above it, and the totals."""
     w, hit = _w(weight), F.col(y) == F.lit(positive)
     grouped = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(F.when(hit, w).otherwise(0.0)).alias("p"), F.sum(F.when(hit, 0.0).otherwise(w)).alias("n"))
-    above, everything = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return grouped.select("threshold", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"), F.sum("p").over(everything).alias("P"), F.sum("n").over(everything).alias("N"))
+    sums, (positives, negatives) = running_sums(grouped, F.desc("threshold"), ["p", "n"])
+    return sums.select("threshold", F.col("p").alias("tp"), F.col("n").alias("fp"), F.lit(positives).alias("P"), F.lit(negatives).alias("N"))
 
 
 def roc_curve(df: DataFrame, y: str, score: str, positive=1, weight: str | None = None) -> DataFrame:
@@ -74,10 +76,12 @@ def precision_recall_curve(df: DataFrame, y: str, score: str, positive=1, weight
 
 
 def area_under_curve(curve: DataFrame, x: str, y: str, order: str = "threshold") -> DataFrame:
-    """Trapezoids along descending ``order``."""
-    w = Window.orderBy(F.desc(order))
-    part = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
-    return curve.select(part.alias("part")).agg(F.sum("part").alias("area"))
+    """Trapezoids along descending ``order``; an x that both grows and shrinks along it is an error."""
+    rows = with_previous(curve.select(F.col(order).alias("_o"), F.col(x).alias("x"), F.col(y).alias("y")), F.desc("_o"), ["x", "y"])
+    step = F.col("x") - F.col("_previous.x")
+    both = rows.agg(F.sum(step * (F.col("y") + F.col("_previous.y")) / 2).alias("area"), F.min(step).alias("low"), F.max(step).alias("high"))
+    turns = (F.col("low") < 0) & (F.col("high") > 0)
+    return both.select(F.when(turns, F.raise_error(F.lit("the area needs an x that only grows or only shrinks")).cast("double")).otherwise(F.col("area")).alias("area"))
 
 
 def calibration_curve(df: DataFrame, y: str, score: str, positive=1, n_bins: int = 10) -> DataFrame:

@@ -7,10 +7,11 @@ from dataclasses import dataclass, replace
 from itertools import product
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.core import Context, Dataset, Fitted, Spec, check
+from orrery.plans.ordering import row_numbers
 
 
 def seeded(id: str, seed: int) -> Column:
@@ -33,9 +34,9 @@ class KFold:
 def split(folds: KFold, df: DataFrame, id: str) -> DataFrame:
     """Adds ``fold`` (from 1). Only ids are sorted; they are joined back to the rows."""
     order = [seeded(id, folds.seed), F.col(id)] if folds.shuffle else [F.col(id)]
-    ranked = df.select(id).withColumns({"_r": F.row_number().over(Window.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})
-    size, extra, k = F.floor(F.col("_n") / folds.n_splits), F.col("_n") % folds.n_splits, F.col("_r")
-    fold = F.when(k < extra * (size + 1), F.floor(k / (size + 1))).otherwise(extra + F.floor((k - extra * (size + 1)) / F.greatest(size, F.lit(1))))
+    ranked, n = row_numbers(df.select(id), *order)
+    size, extra, k = n // folds.n_splits, n % folds.n_splits, F.col("_r")
+    fold = F.when(k < extra * (size + 1), F.floor(k / (size + 1))).otherwise(extra + F.floor((k - extra * (size + 1)) / max(size, 1)))
     return df.join(ranked.select(id, (fold + 1).cast("int").alias("fold")), id)
 
 
@@ -55,14 +56,14 @@ def train_test_split(df: DataFrame, id: str, test_size: float = 0.25, seed: int
         check(bool(open_), "the test size cannot keep every class on both sides")
         best = max(open_, key=gap) if up else min(open_, key=gap)
         quota[best] += 1 if up else -1
-    w = Window.partitionBy(*part).orderBy(seeded(id, seed), F.col(id))
+    # one order over all classes; a class's first row gives the place where its own numbers start
+    ranked, _ = row_numbers(df.select(id, *part), *[F.col(c) for c in part], seeded(id, seed), F.col(id))
     limit = F.lit(total)
     if part:
-        limit = F.lit(0)
+        limit, starts = F.lit(0), {r[0]: r[1] for r in ranked.groupBy(stratify).agg(F.min("_r")).collect()}
         for k in keys:
-            limit = F.when(F.col(stratify) == F.lit(k), quota[k]).otherwise(limit)
-    ranked = df.select(id, *part).withColumn("_r", F.row_number().over(w)).select(id, (F.col("_r") <= limit).alias("is_test"))
-    return df.join(ranked, id)
+            limit = F.when(F.col(stratify) == F.lit(k), starts[k] + quota[k]).otherwise(limit)
+    return df.join(ranked.select(id, (F.col("_r") < limit).alias("is_test")), id)
 
 
 Scoring = Callable[[DataFrame, str], float]
@@ -149,8 +150,9 @@ def tune(spec: Spec, data: Dataset, grid: dict[str, Sequence], folds: KFold | No
 
 def permuted(df: DataFrame, column: str, id: str, seed: int, repeat: int = 0) -> DataFrame:
     """The rows with one column's values dealt anew: two numberings of the ids, joined."""
-    a = df.select(F.col(id), F.row_number().over(Window.orderBy(id)).alias("_r"))
-    b = df.select(F.row_number().over(Window.orderBy(seeded(id, seed * 1000 + repeat), F.col(id))).alias("_r"), F.col(column).alias("_v"))
+    a, _ = row_numbers(df.select(id), F.col(id))
+    b, _ = row_numbers(df.select(id, F.col(column).alias("_v")), seeded(id, seed * 1000 + repeat), F.col(id))
+    b = b.drop(id)
     return df.join(a.join(b, "_r").select(id, "_v"), id).withColumn(column, F.col("_v")).drop("_v")
 
 
