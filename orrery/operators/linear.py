@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from orrery.core import Context, Dataset, Fitted, FitReport, Spec, check, proba_names
 from orrery.errors import UnsupportedDataError
 from orrery.plans import solvers
+from orrery.plans.ordering import quantiles
 from orrery.plans.passes import class_index, classes_of, collect_local, dot, first_argmax, guard, held, moments, number, partial_sums, pool, sigmoid
 
 
@@ -413,7 +414,7 @@ class QuantileRegression(Spec):
         p, q = len(data.features), len(data.features) + self.fit_intercept
         start = np.zeros(q)
         if self.fit_intercept:
-            start[p] = data.df.agg(F.percentile(number(data.targets[0]), F.lit(0.5))).first()[0]
+            start[p] = quantiles(data.df, number(data.targets[0]), [0.5])[0]
 
         def block(theta: np.ndarray, M: np.ndarray) -> np.ndarray:
             X, y, w = _design(M, self.fit_intercept)
@@ -443,11 +444,11 @@ class HuberRegression(Spec):
         n = guard(data.df, [*data.features, *data.targets, *([data.weight] if data.weight else [])], "HuberRegression")
         p, q = len(data.features), len(data.features) + self.fit_intercept
         y = number(data.targets[0])
-        row = data.df.agg(F.percentile(y, F.lit(0.5)).alias("m"), F.stddev_pop(y).alias("s")).first()
+        middle, deviation = quantiles(data.df, y, [0.5])[0], data.df.agg(F.stddev_pop(y)).first()[0]
         start = np.zeros(q + 1)
         if self.fit_intercept:
-            start[p] = row["m"]
-        start[q] = np.log(max(row["s"] or 0.0, 1e-6))
+            start[p] = middle
+        start[q] = np.log(max(deviation or 0.0, 1e-6))
 
         def block(theta: np.ndarray, M: np.ndarray) -> np.ndarray:
             X, y, w = _design(M, self.fit_intercept)
@@ -563,7 +564,7 @@ class TheilSenRegression(Spec):
         b, steps, converged = _spatial_median(betas, self.max_iterations, self.tolerance)
         intercept = 0.0
         if self.fit_intercept:
-            intercept = data.df.agg(F.percentile(number(data.targets[0]) - dot(data.features, b), F.lit(0.5))).first()[0]
+            intercept = quantiles(data.df, number(data.targets[0]) - dot(data.features, b), [0.5])[0]
         return LinearFit(self, data.features, _report(data, n, context, solvers.Trace(b, [], steps, converged), subpopulations=len(picks)), b, float(intercept))
 
 
@@ -625,8 +626,8 @@ class RANSACRegression(Spec):
             raise UnsupportedDataError(f"RANSACRegression needs at least {size} rows")
         threshold = self.residual_threshold
         if threshold is None:
-            middle = data.df.agg(F.percentile(y, F.lit(0.5))).first()[0]
-            threshold = data.df.agg(F.percentile(F.abs(y - middle), F.lit(0.5))).first()[0]
+            middle = quantiles(data.df, y, [0.5])[0]
+            threshold = quantiles(data.df, F.abs(y - middle), [0.5])[0]
         rng = context.rng("ransac")
         drawn = _sampled_rows(data, n, min(n, max(5000, 50 * size)), rng)
         loss = lambda b, a: F.abs(y - dot(data.features, b, a)) if self.loss == "absolute_error" else (y - dot(data.features, b, a)) ** 2

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from orrery.core import Context, Dataset, Fitted, FitReport, Spec, check, logical_type
 from orrery.errors import UnsupportedDataError
+from orrery.plans.ordering import quantiles
 from orrery.plans.passes import guard, moments, number
 
 
@@ -122,8 +123,7 @@ class RobustScale(Spec):
     def _fit(self, data: Dataset, context: Context) -> Fitted:
         n = guard(data.df, data.features, "RobustScale")
         lo, hi = self.quantile_range
-        row = data.df.agg(*[F.percentile(number(c), F.array(F.lit(lo), F.lit(0.5), F.lit(hi))).alias(f"q{i}") for i, c in enumerate(data.features)]).first()
-        q = np.array([row[f"q{i}"] for i in range(len(data.features))])
+        q = np.array([quantiles(data.df, number(c), [lo, 0.5, hi]) for c in data.features])
         span = q[:, 2] - q[:, 0]
         span[span == 0] = 1.0
         p = len(span)
@@ -248,10 +248,12 @@ class Impute(Spec):
                 fills[c] = self.fill_value
             elif how == "most_frequent":
                 plain.append(c)
+            elif how == "mean":
+                sums[c] = F.avg(number(c))
             else:
-                sums[c] = F.avg(number(c)) if how == "mean" else F.percentile(number(c), F.lit(0.5))
+                fills[c] = quantiles(df, number(c), [0.5])[0]
         row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"have{i}") for i, c in enumerate(data.features)], *[e.alias(f"fill{i}") for i, e in enumerate(sums.values())]).first()
-        empty = [c for i, c in enumerate(data.features) if not row[f"have{i}"] and c not in fills]
+        empty = [c for i, c in enumerate(data.features) if not row[f"have{i}"] and (c not in fills or self.strategy == "median")]
         if empty:
             raise UnsupportedDataError(f"all values are missing in {', '.join(empty)}")
         fills |= {c: row[f"fill{i}"] for i, c in enumerate(sums)}

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.core import Context, Dataset, Fitted, FitReport, Spec, add_numpy, check, proba_names
+from orrery.plans.ordering import quantiles
 from orrery.plans.passes import class_index, classes_of, collect_local, guard, held, number, partial_sums, pool
 
 
@@ -427,7 +428,7 @@ class IsolationForest(Spec):
         fit = IsolationFit(self, data.features, FitReport(n, len(data.features), details={"sample": size}), trees, max(_path(size), 1e-12), 0.5)
         if self.contamination is None:
             return fit
-        cut = fit.anomaly_score(data.df).agg(F.percentile("score", F.lit(1 - self.contamination))).first()[0]
+        cut = quantiles(fit.anomaly_score(data.df), F.col("score"), [1 - self.contamination])[0]
         return IsolationFit(self, data.features, fit.report, trees, fit.normal, cut)
 
     def _tree(self, X: np.ndarray, rng: np.random.Generator) -> Tree:

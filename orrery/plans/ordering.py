@@ -86,13 +86,12 @@ def quantiles(df: DataFrame, value: Column, shares: Sequence[float]) -> list[flo
         place = s * (n - 1)
         k, part = int(place), place - int(place)
         wanted = [k, min(k + 1, n - 1)]
-        inside, start = values, 0
-        if below[f"a{i}"] <= wanted[0] and below[f"b{i}"] > wanted[1]:
-            inside, start = values.where(F.col("v").between(*brackets[i])), below[f"a{i}"]
-        counted = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-        if brackets[i][0] == brackets[i][1] and start:
+        covered = below[f"a{i}"] <= wanted[0] and below[f"b{i}"] > wanted[1]
+        if covered and brackets[i][0] == brackets[i][1]:
             out.append(float(brackets[i][0]))
             continue
+        inside, start = (values.where(F.col("v").between(*brackets[i])), below[f"a{i}"]) if covered else (values, 0)
+        counted = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
         sums, _ = running_sums(counted, F.asc("v"), ["c"])
         hit = [sums.where(F.col("c") + start > w).agg(F.min("v")).first()[0] for w in wanted]
         out.append(float(hit[0] + (hit[1] - hit[0]) * part))
