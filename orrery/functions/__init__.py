@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.plans.ordering import quantiles
+from orrery.plans.passes import moments
+
 
 def _fold(a: Column, b: Column, step) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: step(x.cast("double"), y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
@@ -60,6 +64,11 @@ def softmax(values: Sequence[Column]) -> list[Column]:
     return [v / sum(e, F.lit(0.0)) for v in e]
 
 
+def logsoftmax(values: Sequence[Column]) -> list[Column]:
+    total = logsumexp(values)
+    return [v - total for v in values]
+
+
 def sigmoid(z: Column) -> Column:
     return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
 
@@ -98,6 +107,18 @@ def quantile_loss(y: Column, p: Column, quantile: float = 0.5, w: Column | None
     return _mean(F.when(d >= 0, quantile * d).otherwise((quantile - 1) * d), w)
 
 
+def reduction_sum(x: Column) -> Column:
+    return F.sum(x.cast("double"))
+
+
+def reduction_mean(x: Column) -> Column:
+    return F.avg(x)
+
+
+def reduction_variance(x: Column, corrected: bool = True) -> Column:
+    return F.var_samp(x) if corrected else F.var_pop(x)
+
+
 def weighted_sum(x: Column, w: Column) -> Column:
     return F.sum(w * x)
 
@@ -120,12 +141,46 @@ def stable_norm(df: DataFrame, c: str) -> DataFrame:
     return df.agg((F.lit(float(top)) * F.sqrt(F.sum(F.pow(F.col(c) / F.lit(float(top)), F.lit(2))))).alias("norm"))
 
 
+def stable_sum(df: DataFrame, c: str) -> DataFrame:
+    """Sum that loses next to nothing to cancellation, whatever the order of the rows: two aggregates.
+
+    Each value is split twice at a power of two above what the sum can reach. The upper parts are multiples of one unit, so their
+    sums are exact in any order; only the rests round. Nulls are left out; an empty column sums to 0.
+    """
+    x = F.col(c).cast("double")
+    n, top = df.agg(F.count(x), F.max(F.abs(x))).first()
+    if not top or not math.isfinite(top):
+        return df.agg(F.coalesce(F.sum(x), F.lit(0.0)).alias("sum"))
+    room = 2.0 ** math.ceil(math.log2(n + 2))
+    first = room * 2.0 ** math.ceil(math.log2(top))
+    second = first * 2.0**-53 * room
+    if not math.isfinite(first * 2):
+        raise OverflowError(f"the sum of {c} may leave the range of doubles")
+    upper = (x + F.lit(first)) - F.lit(first)
+    middle = ((x - upper) + F.lit(second)) - F.lit(second)
+    return df.agg((F.sum(upper) + (F.sum(middle) + F.sum((x - upper) - middle))).alias("sum"))
+
+
 def argbest(df: DataFrame, value: str, id: str, largest: bool = True) -> DataFrame:
     """The id of the greatest (least) value; of equals the first id."""
     e = F.min_by(F.col(id), F.struct(-F.col(value) if largest else F.col(value), F.col(id)))
     return df.agg(e.alias("id"))
 
 
+def extrema(df: DataFrame, value: str, id: str) -> DataFrame:
+    """(low, high, argmin, argmax) in one aggregate; of equals the first id. Nulls are left out."""
+    x, key = F.col(value), F.when(F.col(value).isNotNull(), F.col(id))
+    least = lambda e: F.min_by(key, F.when(x.isNotNull(), F.struct(e, F.col(id))))
+    return df.agg(F.min(x).alias("low"), F.max(x).alias("high"), least(x).alias("argmin"), least(-x).alias("argmax"))
+
+
+def quantile_value(df: DataFrame, value: str, q: float) -> float | None:
+    """Exact quantile by linear interpolation; None without values."""
+    if not 0 <= q <= 1:
+        raise ValueError("q must lie within 0 and 1")
+    return quantiles(df, F.col(value), [q])[0]
+
+
 def topk(df: DataFrame, value: str, id: str, k: int, largest: bool = True) -> DataFrame:
     return df.orderBy(F.desc(value) if largest else F.asc(value), F.col(id)).limit(k)
 
@@ -147,6 +202,11 @@ def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
     return grid.join(counts, ["row", "column"], "left").select("row", "column", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def class_counts(df: DataFrame, label: str) -> DataFrame:
+    """(label, n) of the labels that occur; null is one of them."""
+    return df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def histogram_counts(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
     """(bin, n): half-open bins, the last one closed; empty bins are listed, values outside are not counted."""
     x, bin_ = F.col(value), F.lit(None).cast("int")
@@ -163,6 +223,30 @@ def sparse_matvec(entries: DataFrame, vector: DataFrame) -> DataFrame:
     return entries.join(vector, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("u")).alias("value"))
 
 
+def scale_columns(entries: DataFrame, scales: DataFrame) -> DataFrame:
+    """(i, j, v) rows with v times the column's scale, from (j, s) rows; a column without one is an error."""
+    scale = F.coalesce("s", F.raise_error(F.lit("a column has no scale")).cast("double"))
+    return entries.join(scales, "j", "left").select("i", "j", (F.col("v") * scale).alias("v"))
+
+
+def sparse_dot(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(j, v) rows times (j, u) rows -> value."""
+    return a.join(b, "j").agg(F.coalesce(F.sum(F.col("v") * F.col("u")), F.lit(0.0)).alias("value"))
+
+
+def center_sparse(entries: DataFrame, means: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(i, j, v) rows less their columns' means, from (j, m) rows of all columns.
+
+    Means other than zero fill the matrix: that needs the row numbers (i), which allow it; without them it is an error.
+    """
+    if not means.where("m <> 0").limit(1).count():
+        return entries
+    if rows is None:
+        raise ValueError("centring fills the matrix; give its row numbers to allow it")
+    dense = rows.select("i").crossJoin(F.broadcast(means))  # the filled matrix itself: every row has every column
+    return dense.join(entries, ["i", "j"], "left").select("i", "j", (F.coalesce("v", F.lit(0.0)) - F.col("m")).alias("v"))
+
+
 def sparse_column_sums(entries: DataFrame) -> DataFrame:
     return entries.groupBy("j").agg(F.sum("v").alias("value"))
 
@@ -174,3 +258,10 @@ def covariance_matrix(df: DataFrame, columns: Sequence[str], corrected: bool = T
     row = df.agg(*[f(F.col(a), F.col(b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
     cells = F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"c{k}").alias("value")) for k, (a, b) in enumerate(pairs)])
     return row.select(F.explode(cells).alias("c")).select("c.*")
+
+
+def weighted_covariance(df: DataFrame, columns: Sequence[str], weight: str, corrected: bool = False) -> DataFrame:
+    """(i, j, value) around the weighted means, by two aggregates; corrected: by the reliability of the weights."""
+    m = moments(df, columns, weight, "weighted_covariance")
+    value = m.cross / (m.weight - (m.weight2 / m.weight if corrected else 0.0))
+    return df.sparkSession.createDataFrame([(a, b, float(value[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)], "i string, j string, value double")

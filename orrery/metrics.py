@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.plans.ordering import running_sums, with_previous
+from orrery.plans.ordering import quantiles, running_sums, with_previous
 
 
 def _w(weight: str | None) -> Column:
@@ -49,10 +49,14 @@ def precision_recall_f1(df: DataFrame, y: str, p: str, average: str = "macro", z
 
 
 def log_loss(df: DataFrame, y: str, proba: Sequence[str], classes: Sequence, epsilon: float = 2.220446049250313e-16) -> DataFrame:
-    p = F.lit(None).cast("double")
-    for c, name in zip(classes, proba, strict=True):
-        p = F.when(F.col(y) == F.lit(c), F.col(name)).otherwise(p)
-    return df.agg((-F.avg(F.log(F.greatest(p, F.lit(epsilon))))).alias("log_loss"))
+    """Mean negative logarithm of the label's probability. Unknown labels, and probabilities that aren't shares of one, are errors."""
+    p, all_of = F.lit(None).cast("double"), [F.col(name).cast("double") for name in proba]
+    for c, share in zip(classes, all_of, strict=True):
+        p = F.when(F.col(y) == F.lit(c), share).otherwise(p)
+    total = sum(all_of[1:], all_of[0])
+    shares = (F.abs(total - 1) <= 1.5e-8) & (F.least(*all_of, F.lit(1.0)) >= 0) & (F.greatest(*all_of, F.lit(0.0)) <= 1)
+    wrong = F.when(~F.coalesce(shares, F.lit(False)), F.lit("each row's probabilities must lie within 0 and 1 and sum to 1")).when(p.isNull(), F.lit("a label is none of the classes"))
+    return df.agg((-F.avg(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("double")).otherwise(F.log(F.greatest(p, F.lit(epsilon)))))).alias("log_loss"))
 
 
 def _by_threshold(df: DataFrame, y: str, score: str, positive, weight: str | None) -> DataFrame:
@@ -84,7 +88,21 @@ def area_under_curve(curve: DataFrame, x: str, y: str, order: str = "threshold")
     return both.select(F.when(turns, F.raise_error(F.lit("the area needs an x that only grows or only shrinks")).cast("double")).otherwise(F.col("area")).alias("area"))
 
 
-def calibration_curve(df: DataFrame, y: str, score: str, positive=1, n_bins: int = 10) -> DataFrame:
-    """(bin, mean_predicted, observed, n) of the occupied bins of equal width; an edge belongs to the bin above it, 1 to the last."""
-    bin_ = F.least(F.floor(F.col(score) * n_bins), F.lit(n_bins - 1)).cast("int")
-    return df.groupBy(bin_.alias("bin")).agg(F.avg(score).alias("mean_predicted"), F.avg((F.col(y) == F.lit(positive)).cast("double")).alias("observed"), F.count(F.lit(1)).alias("n"))
+def calibration_curve(df: DataFrame, y: str, score: str, positive=1, n_bins: int = 10, strategy: str = "uniform", weight: str | None = None) -> DataFrame:
+    """(bin, mean_predicted, observed, n) of the occupied bins; an edge belongs to the bin above it, 1 to the last.
+
+    strategy: uniform (bins of equal width) or quantile (edges at the scores' quantiles, equal ones merged, and 0 and 1).
+    """
+    if strategy == "uniform":
+        bin_ = F.least(F.floor(F.col(score) * n_bins), F.lit(n_bins - 1)).cast("int")
+    elif strategy == "quantile":
+        found = [q for q in quantiles(df, F.col(score), [k / n_bins for k in range(n_bins + 1)]) if q is not None]
+        edges = sorted({0.0, 1.0, *found})
+        bin_ = F.lit(0)
+        for i in range(1, len(edges) - 1):
+            bin_ = F.when(F.col(score) >= edges[i], i).otherwise(bin_)
+    else:
+        raise ValueError("strategy must be uniform or quantile")
+    w, hit = _w(weight), (F.col(y) == F.lit(positive)).cast("double")
+    n = F.sum(w) if weight else F.count(F.lit(1))
+    return df.groupBy(bin_.alias("bin")).agg((F.sum(w * F.col(score)) / F.sum(w)).alias("mean_predicted"), (F.sum(w * hit) / F.sum(w)).alias("observed"), n.alias("n"))

@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.core import Context, Dataset, Fitted, FitReport, Spec, check, proba_names
+from orrery.core import Context, Dataset, Fitted, FitReport, Spec, add_numpy, check, proba_names
 from orrery.errors import UnsupportedDataError
-from orrery.plans.passes import class_index, classes_of, dot, first_argmax, guard, held, number, partial_sums
+from orrery.plans.passes import SQL_COLUMNS, class_index, classes_of, dot, first_argmax, guard, held, number, partial_sums
 
 
 @dataclass(frozen=True)
@@ -21,16 +21,37 @@ class _JointFit(Fitted):
         """Joint log-likelihood of each class."""
         raise NotImplementedError
 
+    def joint_block(self, X: np.ndarray) -> np.ndarray:
+        """The same of a block of rows, a column for each class."""
+        raise NotImplementedError
+
+    @property
+    def _wide(self) -> bool:
+        """Whether the expressions of ``joint`` would outgrow generated code."""
+        return len(self.features) > SQL_COLUMNS
+
     def predict_proba(self, df: DataFrame) -> DataFrame:
         self._need(df)
+        names = proba_names(self.classes)
+        if self._wide:
+
+            def step(X: np.ndarray) -> list[np.ndarray]:
+                z = self.joint_block(X)
+                e = np.exp(z - z.max(axis=1, keepdims=True))
+                return list((e / e.sum(axis=1, keepdims=True)).T)
+
+            return add_numpy(df, self.features, [(n, "double") for n in names], step)
         z = self.joint()
         top = F.greatest(*z)
         e = [F.exp(v - top) for v in z]
         total = sum(e[1:], e[0])
-        return df.withColumns({n: v / total for n, v in zip(proba_names(self.classes), e, strict=True)})
+        return df.withColumns({n: v / total for n, v in zip(names, e, strict=True)})
 
     def predict(self, df: DataFrame) -> DataFrame:
         self._need(df)
+        if self._wide:
+            placed = add_numpy(df, self.features, [("prediction", "long")], lambda X: [self.joint_block(X).argmax(axis=1)])
+            return placed.withColumn("prediction", F.element_at(F.array(*[F.lit(c) for c in self.classes]), F.col("prediction").cast("int") + 1))
         return df.withColumn("prediction", first_argmax(self.joint(), self.classes))
 
 
@@ -49,6 +70,10 @@ class GaussianNBFit(_JointFit):
             out.append(z)
         return out
 
+    def joint_block(self, X: np.ndarray) -> np.ndarray:
+        z = np.log(self.priors) - 0.5 * np.log(2 * np.pi * self.variances).sum(axis=1)
+        return z - np.column_stack([((X - m) ** 2 / (2 * v)).sum(axis=1) for m, v in zip(self.means, self.variances, strict=True)])
+
 
 def _class_moments(data: Dataset, what: str) -> tuple[int, list, np.ndarray, np.ndarray, np.ndarray]:
     """Number of rows, classes, and for each class its weight, means and population variances: one grouped aggregate."""
@@ -100,6 +125,13 @@ class DiscriminantFit(_JointFit):
             out.append(F.lit(float(np.log(prior) - 0.5 * logdet)) - 0.5 * q)
         return out
 
+    def joint_block(self, X: np.ndarray) -> np.ndarray:
+        out = []
+        for k, (prior, m) in enumerate(zip(self.priors, self.means, strict=True)):
+            P, logdet = self.precisions[k % len(self.precisions)], self.logdets[k % len(self.precisions)]
+            out.append(np.log(prior) - 0.5 * logdet - 0.5 * (((X - m) @ P) * (X - m)).sum(axis=1))
+        return np.column_stack(out)
+
 
 def _class_covariances(data: Dataset, classes: list, means: np.ndarray) -> np.ndarray:
     """Sums of weighted centred cross-products per class: one pass."""
@@ -147,6 +179,9 @@ class MultinomialNBFit(_JointFit):
     def joint(self) -> list[Column]:
         return [dot(self.features, b, a) for b, a in zip(self.log_probabilities, self.log_priors, strict=True)]
 
+    def joint_block(self, X: np.ndarray) -> np.ndarray:
+        return X @ self.log_probabilities.T + self.log_priors
+
 
 @dataclass(frozen=True)
 class MultinomialNaiveBayes(Spec):

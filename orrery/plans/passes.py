@@ -199,8 +199,5 @@ def sigmoid(z: Column) -> Column:
 
 def first_argmax(values: Sequence[Column], labels: Sequence) -> Column:
     """The label of the greatest value; of equals the first."""
-    best = F.greatest(*values) if len(values) > 1 else values[0]
-    out = F.lit(labels[-1])
-    for v, label in reversed(list(zip(values[:-1], labels[:-1], strict=True))):
-        out = F.when(v == best, F.lit(label)).otherwise(out)
-    return out
+    ranked = [F.struct(v.alias("value"), F.lit(-i).alias("place"), F.lit(label).alias("label")) for i, (v, label) in enumerate(zip(values, labels, strict=True))]
+    return F.array_max(F.array(*ranked))["label"]  # each value stands once in the expression

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from orrery.core import Dataset, Fitted, Spec
 from orrery.operators.linear import Lasso, LinearFit
 from orrery.operators.unsupervised import ProjectionFit
-from orrery.selection import KFold, Scoring, cross_validate, default_scoring, seeded, with_parameters
+from orrery.selection import KFold, Scoring, cross_validate, default_scoring, seeded, split, with_parameters
 
 
 def scree(spark, fitted: ProjectionFit) -> DataFrame:
@@ -52,24 +52,29 @@ def regularization_path(spark, data: Dataset, spec: Spec | None = None, penaltie
     return spark.createDataFrame(rows, "lam double, feature string, coefficient double")
 
 
-def learning_curve(spark, spec: Spec, data: Dataset, shares: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0), folds: KFold | None = None, scoring: Scoring | None = None, seed: int = 0) -> DataFrame:
-    """(share, train, validation): mean scores of fits to growing parts of the training rows, the parts chosen by hashed ids."""
+def _mean_scores(spec: Spec, part: Dataset, folds: KFold, scoring: Scoring | None) -> tuple[float, float]:
+    """Mean scores on the rows that each model was fitted to, and on those of its fold."""
     score = scoring or default_scoring(spec)[0]
+    result, rows = cross_validate(spec, part, folds, scoring), split(folds, part.df, part.id).persist()
+    try:
+        own = [score(m.predict(rows.where(F.col("fold") != k)), part.targets[0]) for k, m in enumerate(result.models, 1)]
+    finally:
+        rows.unpersist()
+    return float(np.mean(own)), result.mean
+
+
+def learning_curve(spark, spec: Spec, data: Dataset, shares: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0), folds: KFold | None = None, scoring: Scoring | None = None, seed: int = 0) -> DataFrame:
+    """(share, train, validation): mean scores of fits to growing parts of the rows, the parts chosen by hashed ids."""
     rows = []
     for share in shares:
         part = data.with_df(data.df.where(F.conv(F.substring(seeded(data.id, seed), 1, 6), 16, 10).cast("double") < share * 16**6))
-        result = cross_validate(spec, part, folds or KFold(3), scoring)
-        rows.append((float(share), float(np.mean([score(m.predict(part.df), data.targets[0]) for m in result.models])), result.mean))
+        rows.append((float(share), *_mean_scores(spec, part, folds or KFold(3), scoring)))
     return spark.createDataFrame(rows, "share double, train double, validation double")
 
 
 def validation_curve(spark, spec: Spec, data: Dataset, parameter: str, values: Sequence, folds: KFold | None = None, scoring: Scoring | None = None) -> DataFrame:
     """(value, train, validation) for each value of a parameter."""
-    score = scoring or default_scoring(spec)[0]
-    rows = []
-    for v in values:
-        result = cross_validate(with_parameters(spec, {parameter: v}), data, folds or KFold(3), scoring)
-        rows.append((str(v), float(np.mean([score(m.predict(data.df), data.targets[0]) for m in result.models])), result.mean))
+    rows = [(str(v), *_mean_scores(with_parameters(spec, {parameter: v}), data, folds or KFold(3), scoring)) for v in values]
     return spark.createDataFrame(rows, "value string, train double, validation double")
 
 
@@ -82,6 +87,20 @@ def partial_dependence(fitted: Fitted, data: Dataset, feature: str, grid: Sequen
     return fitted.predict(rows).groupBy(F.col("_value").alias("value")).agg(F.avg("prediction").alias("prediction"))
 
 
+def partial_dependence_pair(fitted: Fitted, data: Dataset, features: tuple[str, str], x: Sequence[float], y: Sequence[float]) -> DataFrame:
+    """(x, y, prediction): the mean prediction when two features take each pair of the grid in all rows."""
+    a, b = features
+    cells = F.array(*[F.struct(F.lit(float(u)).alias("x"), F.lit(float(v)).alias("y")) for u in x for v in y])
+    rows = data.df.withColumn("_cell", F.explode(cells)).withColumns({a: F.col("_cell.x"), b: F.col("_cell.y")})
+    return fitted.predict(rows).groupBy(F.col("_cell.x").alias("x"), F.col("_cell.y").alias("y")).agg(F.avg("prediction").alias("prediction"))
+
+
+def individual_dependence(fitted: Fitted, data: Dataset, feature: str, grid: Sequence[float]) -> DataFrame:
+    """(id, value, prediction): each row's prediction when a feature takes each value of the grid; the data need an id."""
+    rows = data.df.withColumn("_value", F.explode(F.array(*[F.lit(float(v)) for v in grid]))).withColumn(feature, F.col("_value"))
+    return fitted.predict(rows).select(F.col(f"`{data.id}`").alias("id"), F.col("_value").alias("value"), "prediction")
+
+
 def on_grid(spark, fitted: Fitted, x: Sequence[float], y: Sequence[float]) -> DataFrame:
     """Predictions on a grid of a model's two features (boundaries and surfaces)."""
     rows = [(float(a), float(b)) for a in x for b in y]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -269,8 +270,8 @@ def permuted_column(spark, d):
 _EMB = "SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings"
 
 
-#: Numbers of an embedding, and those that the queries with all-pairs SQL take: a prefix, as their SQL has it.
-WHOLE, PREFIX = 64, 8
+#: Numbers of an embedding.
+WHOLE = 64
 
 
 def _embeddings(spark, d, dims: int = WHOLE) -> tuple[DataFrame, list[str]]:
@@ -278,20 +279,12 @@ def _embeddings(spark, d, dims: int = WHOLE) -> tuple[DataFrame, list[str]]:
     return _read(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names
 
 
-_E8 = "SELECT vec_id, label, [" + ", ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(8)) + "] AS e FROM embeddings"
-_NEAR = f"""WITH v AS ({_E8}), q AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, a.label AS ql, b.label AS nl, list_distance(a.e, b.e) AS distance FROM v a, v b),
+_NEAR = f"""WITH v AS ({_EMB}), q AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, a.label AS ql, b.label AS nl, list_distance(a.e, b.e) AS distance FROM v a, v b),
  n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), neighbor_id) AS rank FROM q QUALIFY rank <= 5)"""
 
 
 @_query(f"{_NEAR} SELECT query_id, rank::INT AS rank, neighbor_id, round(distance, 4) AS distance FROM n WHERE rank > 1")
 def k_neighbors(spark, d):
-    df, names = _embeddings(spark, d, PREFIX)
-    f = NearestNeighbors(5).fit(df, features=names, id="vec_id")
-    return _r(f.kneighbors(df, "vec_id").where("rank > 1"))
-
-
-@_query()
-def k_neighbors_whole(spark, d):
     df, names = _embeddings(spark, d)
     f = NearestNeighbors(5).fit(df, features=names, id="vec_id")
     return _r(f.kneighbors(df, "vec_id").where("rank > 1"))
@@ -299,24 +292,12 @@ def k_neighbors_whole(spark, d):
 
 @_query(f"{_NEAR} SELECT query_id AS vec_id, arg_min(nl, (-c, nl)) AS prediction FROM (SELECT query_id, nl, count(*) AS c FROM n GROUP BY 1, 2) GROUP BY 1")
 def knn_classifier(spark, d):
-    df, names = _embeddings(spark, d, PREFIX)
-    return KNeighborsClassifier(5).fit(df, features=names, target="label", id="vec_id").predict(df).select("vec_id", "prediction")
-
-
-@_query()
-def knn_classifier_whole(spark, d):
     df, names = _embeddings(spark, d)
     return KNeighborsClassifier(5).fit(df, features=names, target="label", id="vec_id").predict(df).select("vec_id", "prediction")
 
 
 @_query(f"{_NEAR} SELECT query_id AS vec_id, round(avg(nl), 4) AS prediction FROM n GROUP BY 1")
 def knn_regressor(spark, d):
-    df, names = _embeddings(spark, d, PREFIX)
-    return _r(KNeighborsRegressor(5).fit(df, features=names, target="label", id="vec_id").predict(df).select("vec_id", "prediction"))
-
-
-@_query()
-def knn_regressor_whole(spark, d):
     df, names = _embeddings(spark, d)
     return _r(KNeighborsRegressor(5).fit(df, features=names, target="label", id="vec_id").predict(df).select("vec_id", "prediction"))
 
@@ -330,49 +311,38 @@ def array_distances(spark, d):
     return _r(both.select("a", "b", K.euclidean(F.col("x"), F.col("y")).alias("euclidean"), K.cosine_distance(F.col("x"), F.col("y")).alias("cosine")))
 
 
-@_query(f"""WITH v AS ({_E8}), c AS (SELECT e, row_number() OVER (ORDER BY vec_id) AS k FROM v ORDER BY vec_id LIMIT 4),
+@_query(f"""WITH v AS ({_EMB}), c AS (SELECT e, row_number() OVER (ORDER BY vec_id) AS k FROM v ORDER BY vec_id LIMIT 4),
  a AS (SELECT vec_id, v.e, arg_min(k, (list_distance(v.e, c.e), k)) AS k FROM v, c GROUP BY vec_id, v.e)
- SELECT k::INT AS cluster, count(*) AS n, round(avg(e[1]), 4) + 0.0 AS e0, round(avg(e[8]), 4) + 0.0 AS e7 FROM a GROUP BY k""")
+ SELECT k::INT AS cluster, count(*) AS n, place::INT AS place, round(avg(e[place + 1]), 4) + 0.0 AS mean FROM a, range({WHOLE}) p(place) GROUP BY k, place""")
 def kmeans_step(spark, d):
-    df, names = _embeddings(spark, d, PREFIX)
-    start = [tuple(r) for r in df.orderBy("vec_id").limit(4).select(*names).collect()]
-    f = KMeans(4, init=start, max_iterations=1).fit(df, features=names)
-    import numpy as np
-
-    given = CentersFit(f.spec, f.features, f.report, np.array(start))
-    counts = given.predict(df).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    centers = spark.createDataFrame([(i + 1, float(c[0]), float(c[7])) for i, c in enumerate(f.centers)], "cluster int, e0 double, e7 double")
-    return _r(counts.join(F.broadcast(centers), "cluster"))
-
-
-@_query()
-def kmeans_step_whole(spark, d):
     df, names = _embeddings(spark, d)
     start = [tuple(r) for r in df.orderBy("vec_id").limit(4).select(*names).collect()]
     f = KMeans(4, init=start, max_iterations=1).fit(df, features=names)
-    import numpy as np
-
     given = CentersFit(f.spec, f.features, f.report, np.array(start))
     counts = given.predict(df).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    centers = spark.createDataFrame([(i + 1, [round(float(x), 4) + 0.0 for x in c]) for i, c in enumerate(f.centers)], "cluster int, center array<double>")
-    return counts.join(F.broadcast(centers), "cluster")
+    centers = spark.createDataFrame([(i + 1, j, float(v)) for i, c in enumerate(f.centers) for j, v in enumerate(c)], "cluster int, place int, mean double")
+    return _r(counts.join(F.broadcast(centers), "cluster"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE v AS ({_EMB}), p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE list_distance(a.e, b.e) <= 0.6),
+ c AS MATERIALIZED (SELECT a FROM p GROUP BY a HAVING count(*) >= 4), g AS MATERIALIZED (SELECT a, b FROM p WHERE a IN (FROM c) AND b IN (FROM c)),
+ r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a), l AS (SELECT a, min(b) AS label FROM r GROUP BY a),
+ k AS MATERIALIZED (SELECT a, dense_rank() OVER (ORDER BY label) AS cluster FROM l)
+ SELECT vec_id AS id, coalesce(own.cluster, (SELECT min(cluster) FROM p JOIN k ON k.a = p.b WHERE p.a = vec_id), 0)::INT AS cluster, own.a IS NOT NULL AS core FROM v LEFT JOIN k own ON own.a = vec_id""")
 def dbscan(spark, d):
     df, names = _embeddings(spark, d)
     return DBSCAN(0.6, 4).fit(df, features=names, id="vec_id").labels
 
 
-_GNB = " - ".join(["ln(p)"] + [f"0.5 * ln(2 * pi() * v{i}) - (e[{i + 1}] - m{i}) * (e[{i + 1}] - m{i}) / (2 * v{i})" for i in range(2)])
+_GNB = " - ".join(["ln(p)"] + [f"0.5 * ln(2 * pi() * v{i}) - (e[{i + 1}] - m{i}) * (e[{i + 1}] - m{i}) / (2 * v{i})" for i in range(WHOLE)])
 
 
-@_query(f"""WITH v AS ({_E8}), s AS (SELECT greatest({', '.join(f'var_pop(e[{i + 1}])' for i in range(2))}) * 1e-9 AS eps FROM v),
- c AS (SELECT label, count(*) / (SELECT count(*) FROM v)::DOUBLE AS p, {', '.join(f'avg(e[{i + 1}]) AS m{i}, var_pop(e[{i + 1}]) + (SELECT eps FROM s) AS v{i}' for i in range(2))} FROM v GROUP BY label)
+@_query(f"""WITH v AS ({_EMB}), s AS (SELECT greatest({', '.join(f'var_pop(e[{i + 1}])' for i in range(WHOLE))}) * 1e-9 AS eps FROM v),
+ c AS (SELECT label, count(*) / (SELECT count(*) FROM v)::DOUBLE AS p, {', '.join(f'avg(e[{i + 1}]) AS m{i}, var_pop(e[{i + 1}]) + (SELECT eps FROM s) AS v{i}' for i in range(WHOLE))} FROM v GROUP BY label)
  SELECT vec_id, arg_min(c.label, (-({_GNB}), c.label)) AS prediction FROM v, c GROUP BY vec_id""")
 def gaussian_naive_bayes(spark, d):
-    df, names = _embeddings(spark, d, PREFIX)
-    return GaussianNaiveBayes().fit(df, features=names[:2], target="label").predict(df).select("vec_id", "prediction")
+    df, names = _embeddings(spark, d)
+    return GaussianNaiveBayes().fit(df, features=names, target="label").predict(df).select("vec_id", "prediction")
 
 
 @_query("""WITH c AS (SELECT o_orderstatus AS k, count(*) AS n, sum(x1) + 1.0 AS a, sum(x2) + 1.0 AS b FROM (SELECT o_orderstatus, o_custkey % 9 AS x1, o_orderkey % 4 AS x2 FROM orders) GROUP BY 1)
@@ -392,13 +362,6 @@ def tree_stump(spark, d):
     return _r(spark.createDataFrame([(float(t.threshold[0]), float(t.value[t.left[0]][0]), float(t.value[t.right[0]][0]))], "threshold double, left double, right double"))
 
 
-@_query()
-def cross_validation(spark, d):
-    df = _read(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
-    data = Dataset(df, ("p_size",), "p_retailprice", id="p_partkey")
-    return _r(selection.cross_validate(RidgeRegression(1.0), data, selection.KFold(3)).to_df(spark))
-
-
 @_query()
 def model_catalog(spark, d):
     from orrery.core import catalog_df
@@ -436,8 +399,11 @@ def fused_affine_steps(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from orrery import queries_functions, queries_models  # noqa: F401  (they register theirs)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

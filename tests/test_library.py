@@ -205,17 +205,17 @@ def test_whole_embeddings_by_force(spark):
     rows = lambda name: library.queries()[name](spark, SF).collect()
     D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(axis=2))
     near = [np.lexsort((ids, d.round(9)))[:5] for d in D]
-    got = {(r["query_id"], r["rank"]): (r["neighbor_id"], r["distance"]) for r in rows("k_neighbors_whole")}
+    got = {(r["query_id"], r["rank"]): (r["neighbor_id"], r["distance"]) for r in rows("k_neighbors")}
     want = {(ids[i], k + 1): (ids[near[i][k]], D[i, near[i][k]]) for i in range(len(ids)) for k in range(1, 5)}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-4) for k in want)
     votes = {ids[i]: min(set(y[n]), key=lambda c, n=n: (-(y[n] == c).sum(), c)) for i, n in enumerate(near)}
-    assert {r["vec_id"]: r["prediction"] for r in rows("knn_classifier_whole")} == votes
-    means = {r["vec_id"]: r["prediction"] for r in rows("knn_regressor_whole")}
+    assert {r["vec_id"]: r["prediction"] for r in rows("knn_classifier")} == votes
+    means = {r["vec_id"]: r["prediction"] for r in rows("knn_regressor")}
     assert all(means[ids[i]] == pytest.approx(y[n].mean(), abs=1e-4) for i, n in enumerate(near)) and len(means) == len(ids)
     cluster = np.array([np.argmin(d[:4]) for d in D])
-    for r in rows("kmeans_step_whole"):
+    for r in rows("kmeans_step"):
         own = X[cluster == r["cluster"] - 1]
-        assert r["n"] == len(own) and np.allclose(r["center"], own.mean(axis=0), atol=1e-4)
+        assert r["n"] == len(own) and r["mean"] == pytest.approx(own[:, r["place"]].mean(), abs=1e-4)
     core = (D <= 0.6).sum(axis=1) >= 4
     found = {r["id"]: r for r in rows("dbscan")}
     assert all(found[i]["core"] == c and (found[i]["cluster"] == 0) == (not (core & (D[k] <= 0.6)).any()) for k, (i, c) in enumerate(zip(ids, core, strict=True)))
@@ -241,3 +241,62 @@ def test_pools_keep_the_share_of_repeated_rows(spark):
 
     Seen(n_estimators=20).fit(df, features=["x0"], context=Context(3))
     assert abs(np.mean(seen) - 1 / 3) < 0.05
+
+
+def test_ordering(spark):
+    from orrery.plans.ordering import quantiles, row_numbers, running_sums, with_previous
+
+    df = spark.range(1000, numPartitions=7).select(((F.col("id") * 37) % 1000).alias("k"), F.lit(1.0).alias("v"))
+    numbered, n = row_numbers(df, F.desc("k"))
+    assert n == 1000 and numbered.where("_r <> 999 - k").count() == 0 and numbered.columns == ["k", "v", "_r"]
+    sums, totals = running_sums(df, F.asc("k"), ["v"])
+    assert totals == [1000.0] and sums.where("v <> k + 1").count() == 0
+    assert [tuple(r) for r in with_previous(df, F.asc("k"), ["k"]).where("_previous.k is null or _previous.k <> k - 1").select("k").collect()] == [(0,)]
+    empty = df.limit(0)
+    assert row_numbers(empty, F.asc("k"))[1] == 0 and running_sums(empty, F.asc("k"), ["v"])[1] == [0.0] and quantiles(empty, F.col("k"), [0.5]) == [None]
+    rng = np.random.default_rng(2)
+    for x in (rng.normal(size=801), np.r_[np.zeros(500), rng.exponential(size=300)], np.r_[-1e300, 1e300, 3.0], np.array([2.0])):
+        rows = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(5)
+        assert np.allclose(quantiles(rows, F.col("x"), [0, 0.25, 0.5, 0.9, 1]), np.quantile(x, [0, 0.25, 0.5, 0.9, 1]), rtol=1e-12)
+
+
+def test_functions_refuse_and_keep_digits(spark):
+    from orrery import functions as K
+    from orrery import metrics
+
+    rows = spark.createDataFrame([(1e16,), (1.0,), (-1e16,), (None,), (2.0**-20,)], "x double").repartition(3)
+    assert K.stable_sum(rows, "x").first()["sum"] == 1 + 2.0**-20
+    assert K.stable_sum(rows.limit(0), "x").first()["sum"] == 0
+    scored = spark.createDataFrame([(0, 0.7, 0.4), (1, 0.5, 0.5)], "y int, a double, b double")
+    for df, classes in ((scored, [0, 1]), (scored.where("y = 1"), [0, 2])):
+        with pytest.raises(Exception, match="probabilities|none of the classes"):
+            metrics.log_loss(df, "y", ["a", "b"], classes).collect()
+    curve = spark.createDataFrame([(3.0, 0.0, 1.0), (2.0, 1.0, 1.0), (1.0, 0.5, 1.0)], "threshold double, x double, y double")
+    with pytest.raises(Exception, match="only grows"):
+        metrics.area_under_curve(curve, "x", "y").collect()
+    with pytest.raises(ValueError, match="fills"):
+        K.center_sparse(spark.createDataFrame([(1, 1, 2.0)], "i int, j int, v double"), spark.createDataFrame([(1, 1.0)], "j int, m double"))
+
+
+def test_learning_curve_scores_training_rows(spark):
+    from orrery.operators.trees import DecisionTreeRegressor
+    from orrery.plotdata import learning_curve
+
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, float(i), float(v)) for i, v in enumerate(rng.normal(size=60))], "id long, x double, y double")
+    # a full tree knows its own rows by heart, and nothing of the others
+    r = learning_curve(spark, DecisionTreeRegressor(max_depth=20, min_samples_leaf=1), Dataset(df, ("x",), "y", id="id"), shares=(1.0,)).first()
+    assert r["train"] == pytest.approx(0, abs=1e-9) and r["validation"] > 0.5
+
+
+def test_wide_bayes_equals_the_expressions(spark, monkeypatch):
+    from orrery.operators import probabilistic as P
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, "ab"[i % 2], *[float(abs(v)) for v in rng.normal(i % 2, 1, 4)]) for i in range(40)], "id long, k string, a double, b double, c double, d double")
+    for spec in (P.GaussianNaiveBayes(), P.QuadraticDiscriminantAnalysis(), P.LinearDiscriminantAnalysis(), P.MultinomialNaiveBayes()):
+        f = spec.fit(df, features=list("abcd"), target="k")
+        narrow = f.predict(f.predict_proba(df)).orderBy("id").toPandas()
+        with monkeypatch.context() as m:
+            m.setattr(P, "SQL_COLUMNS", 2)
+            pd.testing.assert_frame_equal(f.predict(f.predict_proba(df)).orderBy("id").toPandas(), narrow, atol=1e-9)
