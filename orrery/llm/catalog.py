@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.OP5_SQL}
+    return {"op3_jaccard_join": jaccard.OP3_SQL, "op5_mixing": mixing.OP5_SQL}

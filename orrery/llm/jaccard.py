@@ -647,3 +647,14 @@ def jaccard_components(docs: DataFrame, t: Threshold = NEAR_DUPLICATES) -> DataF
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), QUERY)
+
+
+#: The same rows by brute force: all pairs of different sets that share a shingle, and everything that their links reach.
+OP3_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END)) AS s FROM w),
+c AS MATERIALIZED (SELECT min(doc_id) AS c, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+t AS MATERIALIZED (SELECT c, n, unnest(s) AS t FROM c),
+e AS MATERIALIZED (SELECT a.c AS a, b.c AS b FROM t a JOIN t b ON a.t = b.t AND a.c <> b.c GROUP BY a.c, b.c HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+l AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(least(c.c, l.b), c.c, doc_id) AS component_id FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN l ON l.a = c.c"""
