@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from orrery.core import Context, Dataset, Fitted, FitReport, Spec, add_numpy, check, proba_names
 from orrery.errors import UnsupportedDataError
+from orrery.plans.graphs import components, cut
+from orrery.plans.ordering import row_numbers
 from orrery.plans.passes import collect_local, dot, guard, held, moments, number, partial_sums, pool
 
 
@@ -302,23 +304,50 @@ def _start(X: np.ndarray, k: int, rng: np.random.Generator, how: str) -> np.ndar
     return np.array(C)
 
 
+#: Numbers of core points that a prediction ships to its tasks (32 MB); beyond, rows and core points meet by cells.
+CORE_NUMBERS = 4_000_000
+
+
+def _near(points: DataFrame, others: DataFrame, p: int, radius: float) -> DataFrame:
+    """Points (x0, x1, ...) joined with the others (y0, y1, ...) within the radius, by the cells of their first two features."""
+    axes = range(min(p, 2))
+    left = points.withColumns({f"_g{i}": F.floor(F.col(f"x{i}") / radius) for i in axes})
+    right = others
+    for i in axes:
+        right = right.withColumn(f"_g{i}", F.explode(F.array(*[F.floor(F.col(f"y{i}") / radius) + v for v in (-1, 0, 1)])))
+    square = sum(((F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}")) for i in range(p)), F.lit(0.0))
+    cells = [f"_g{i}" for i in axes]
+    return left.join(right, cells).withColumn("_square", square).where(F.col("_square") <= radius**2).drop(*cells)
+
+
 @dataclass(frozen=True)
 class DBSCANFit(Fitted):
     labels: DataFrame  # id, cluster, core
-    core: np.ndarray
-    core_labels: np.ndarray
+    core: DataFrame  # y0, y1, ..., _core, _cluster: the distinct core points
+    cores: int
 
     def predict(self, df: DataFrame) -> DataFrame:
+        """The cluster of the nearest core point within the radius (of equally near ones the first), else 0."""
         self._need(df)
+        p = len(self.features)
+        if self.cores * p > CORE_NUMBERS:
+            keyed = cut(df.withColumn("_key", F.monotonically_increasing_id()))
+            near = _near(keyed.select("_key", *[number(c).alias(f"x{i}") for i, c in enumerate(self.features)]), self.core, p, self.spec.radius)
+            best = near.groupBy("_key").agg(F.min_by("_cluster", F.struct("_square", "_core")).alias("cluster"))
+            return keyed.join(best, "_key", "left").withColumn("cluster", F.coalesce(F.col("cluster").cast("long"), F.lit(0).cast("long"))).drop("_key")
+        rows = sorted(self.core.collect(), key=lambda r: r["_core"])
+        core, numbers = np.array([[r[f"y{i}"] for i in range(p)] for r in rows]).reshape(-1, p), np.array([r["_cluster"] for r in rows], dtype=np.int64)
+        radius = self.spec.radius
 
         def step(X: np.ndarray) -> list[np.ndarray]:
-            out = np.zeros(len(X), dtype=np.int64)
-            for i in range(0, len(X), 256):
-                if len(self.core):
-                    d = ((X[i : i + 256, None, :] - self.core[None]) ** 2).sum(axis=2)
-                    at = d.argmin(axis=1)
-                    out[i : i + 256] = np.where(d.min(axis=1) <= self.spec.radius**2, self.core_labels[at], 0)
-            return [out]
+            best, found = np.full(len(X), np.inf), np.zeros(len(X), dtype=np.int64)
+            for j in range(0, len(core), 1024):
+                for i in range(0, len(X), 256):
+                    d = ((X[i : i + 256, None, :] - core[None, j : j + 1024]) ** 2).sum(axis=2)
+                    at, low = d.argmin(axis=1), d.min(axis=1)
+                    nearer = (low < best[i : i + 256]) & (low <= radius**2)
+                    best[i : i + 256][nearer], found[i : i + 256][nearer] = low[nearer], numbers[j : j + 1024][at[nearer]]
+            return [found]
 
         return add_numpy(df, self.features, [("cluster", "long")], step)
 
@@ -327,8 +356,9 @@ class DBSCANFit(Fitted):
 class DBSCAN(Spec):
     """Density clusters: core rows have min_neighbors rows (themselves included) within the radius.
 
-    Pairs within the radius come from a grid join on the first features' cells; clusters are components of core-core pairs,
-    numbered by their first core row; a border row gets the least number among its core neighbours; noise is 0.
+    Equal rows are one point with their number as its weight; pairs of points within the radius come from a join on the first two
+    features' cells. Clusters are components of core-core pairs, numbered by their first core row; a border row gets the least
+    number among its core neighbours; noise is 0. Nothing but counts comes to the driver.
     """
 
     radius: float = 0.5
@@ -339,34 +369,25 @@ class DBSCAN(Spec):
         check(self.radius > 0 and self.min_neighbors >= 1, "radius and min_neighbors must be positive")
 
     def _fit(self, data: Dataset, context: Context) -> Fitted:
-        from orrery.plans.graphs import components
-
         if data.id is None:
             raise UnsupportedDataError("DBSCAN needs an id column")
-        n = guard(data.df, data.features, "DBSCAN")
-        axes = data.features[:2]
-        rows = data.df.select(F.col(data.id).alias("id"), *[number(c).alias(f"x{i}") for i, c in enumerate(data.features)])
-        cells = [F.floor(F.col(f"x{i}") / self.radius).alias(f"g{i}") for i in range(len(axes))]
-        left = rows.select("id", *[F.col(f"x{i}") for i in range(len(data.features))], *cells)
-        offsets = F.array(*[F.lit(v) for v in (-1, 0, 1)])
-        right = rows.select(F.col("id").alias("other"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(len(data.features))], *[F.floor(F.col(f"x{i}") / self.radius).alias(f"h{i}") for i in range(len(axes))])
-        for i in range(len(axes)):
-            right = right.withColumn(f"o{i}", F.explode(offsets)).withColumn(f"g{i}", F.col(f"h{i}") + F.col(f"o{i}")).drop(f"o{i}", f"h{i}")
-        d = sum(((F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}")) for i in range(len(data.features))), F.lit(0.0))
-        pairs = left.join(right, [f"g{i}" for i in range(len(axes))]).where(d <= self.radius**2).select("id", "other").persist()
-        core = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.min_neighbors).select("id").persist()
-        near_core = pairs.join(core.select(F.col("id").alias("other")), "other").select("id", "other")
-        edges = near_core.join(core, "id").select(F.col("id").alias("a"), F.col("other").alias("b"))
-        found = components(edges)
-        numbers = found.select("label").distinct().collect()
-        rank = {r["label"]: i + 1 for i, r in enumerate(sorted(numbers, key=lambda r: r["label"]))}
-        number_of = data.df.sparkSession.createDataFrame(list(rank.items()) or [(None, None)], "label long, cluster int")
-        core_labels = found.join(F.broadcast(number_of), "label").select(F.col("node").alias("other"), "cluster")
-        border = near_core.join(core_labels, "other").groupBy("id").agg(F.min("cluster").alias("cluster"))
-        own = core_labels.select(F.col("other").alias("id"), F.col("cluster").alias("own"))
-        labels = rows.select("id").join(own, "id", "left").join(border, "id", "left").select("id", F.coalesce("own", "cluster", F.lit(0)).alias("cluster"), F.col("own").isNotNull().alias("core"))
-        kept = rows.join(core_labels.withColumnRenamed("other", "id"), "id").orderBy("id").toPandas()
-        return DBSCANFit(self, data.features, FitReport(n, len(data.features), details={"clusters": len(rank)}), labels, kept[[f"x{i}" for i in range(len(data.features))]].to_numpy(float), kept["cluster"].to_numpy(int))
+        n, p = guard(data.df, data.features, "DBSCAN"), len(data.features)
+        x, y = [f"x{i}" for i in range(p)], [f"y{i}" for i in range(p)]
+        rows = data.df.select(F.col(f"`{data.id}`").alias("id"), *[number(c).alias(v) for c, v in zip(data.features, x, strict=True)])
+        points = cut(rows.groupBy(*x).agg(F.min("id").alias("point"), F.count(F.lit(1)).alias("n")))
+        others = points.select(F.col("point").alias("other"), "n", *[F.col(a).alias(b) for a, b in zip(x, y, strict=True)])
+        pairs = cut(_near(points.select("point", *x), others, p, self.radius).select("point", "other", "n"))
+        core = cut(pairs.groupBy("point").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_neighbors).select("point"))
+        near_core = pairs.join(core.select(F.col("point").alias("other")), "other").select("point", "other")
+        found = components(near_core.join(core, "point").select(F.col("point").alias("a"), F.col("other").alias("b")))
+        numbers, clusters = row_numbers(found.select("label").distinct(), F.asc("label"))
+        known = cut(found.join(numbers, "label").select(F.col("node").alias("other"), (F.col("_r") + 1).cast("int").alias("own")))
+        border = near_core.join(known, "other").groupBy("point").agg(F.min("own").alias("least"))
+        placed = points.join(known.withColumnRenamed("other", "point"), "point", "left").join(border, "point", "left")
+        placed = placed.select(*x, F.coalesce("own", "least", F.lit(0)).alias("cluster"), F.col("own").isNotNull().alias("core"))
+        labels = cut(rows.join(placed, x).select("id", "cluster", "core"))
+        centers = cut(others.join(known, "other").select(*y, F.col("other").alias("_core"), F.col("own").alias("_cluster")))
+        return DBSCANFit(self, data.features, FitReport(n, p, details={"clusters": clusters}), labels, centers, centers.count())
 
 
 def _merge_tree(D: np.ndarray, linkage: str, k: int) -> np.ndarray:

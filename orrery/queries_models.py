@@ -67,10 +67,10 @@ _NEWTON = f"""WITH RECURSIVE s AS (SELECT x, y FROM ({_OPEN})), it(k, a, b) AS (
    SELECT k, a, b, x, y, 1 / (1 + exp(-(a + b * x))) AS p FROM it, s WHERE k < 12) GROUP BY k, a, b))"""
 
 
-@_query(f"{_NEWTON} SELECT o_orderkey, round(1 - 1 / (1 + exp(-(a + b * x))), 6) AS proba_0, round(1 / (1 + exp(-(a + b * x))), 6) AS proba_1 FROM ({_OPEN}), it WHERE k = 12")
+@_query(f"{_NEWTON} SELECT o_orderkey, round(1 - 1 / (1 + exp(-(a + b * x))), 4) AS proba_0, round(1 / (1 + exp(-(a + b * x))), 4) AS proba_1 FROM ({_OPEN}), it WHERE k = 12")
 def logistic_probabilities(spark, d):
     df = _open(spark, d)
-    return _r(LogisticRegression(2.0).fit(df, features=["x"], target="y").predict_proba(df).select("o_orderkey", "proba_0", "proba_1"), 6)
+    return _r(LogisticRegression(2.0, tolerance=1e-11).fit(df, features=["x"], target="y").predict_proba(df).select("o_orderkey", "proba_0", "proba_1"))
 
 
 @_query(f"{_NEWTON} SELECT o_orderkey, (a + b * x > 0)::INT AS prediction FROM ({_OPEN}), it WHERE k = 12")

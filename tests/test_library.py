@@ -300,3 +300,29 @@ def test_wide_bayes_equals_the_expressions(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(P, "SQL_COLUMNS", 2)
             pd.testing.assert_frame_equal(f.predict(f.predict_proba(df)).orderBy("id").toPandas(), narrow, atol=1e-9)
+
+
+def test_dbscan_by_force(spark, monkeypatch):
+    from orrery.operators import unsupervised as U
+
+    rng = np.random.default_rng(4)
+    X = np.r_[rng.normal(0, 0.5, (60, 3)), rng.normal(3, 0.5, (40, 3)), np.zeros((30, 3)), np.full((4, 3), 20.0), [[-0.0, 9, 9]]].round(3)
+    df = spark.createDataFrame([(i * 3, *map(float, v)) for i, v in enumerate(X)], "id long, a double, b double, c double").repartition(4)
+    f = DBSCAN(0.5, 4).fit(df, features=list("abc"), id="id")
+    near = ((X[:, None] - X[None]) ** 2).sum(axis=2) <= 0.25
+    core, cluster, number = near.sum(axis=1) >= 4, np.zeros(len(X), dtype=int), 0
+    for i in np.flatnonzero(core):
+        if not cluster[i]:
+            number, todo = number + 1, [i]
+            while todo:
+                k = todo.pop()
+                if not cluster[k]:
+                    cluster[k] = number
+                    todo += list(np.flatnonzero(near[k] & core))
+    want = [c or min(cluster[near[i] & core], default=0) for i, c in enumerate(cluster)]
+    got = f.labels.orderBy("id").toPandas()
+    assert got["id"].tolist() == [i * 3 for i in range(len(X))] and got["cluster"].tolist() == want and got["core"].tolist() == core.tolist()
+    by_blocks = f.predict(df).orderBy("id").toPandas()["cluster"].tolist()
+    assert [by_blocks[i] for i in np.flatnonzero(core)] == [want[i] for i in np.flatnonzero(core)] and by_blocks[-1] == 0
+    monkeypatch.setattr(U, "CORE_NUMBERS", 0)
+    assert f.predict(df).orderBy("id").toPandas()["cluster"].tolist() == by_blocks
