@@ -9,10 +9,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.core import Context, Dataset, Fitted, FitReport, Spec, add_numpy, check, proba_names
+from orrery.plans.graphs import cut
 from orrery.plans.ordering import quantiles
 from orrery.plans.passes import class_index, classes_of, collect_local, guard, held, number, partial_sums, pool
 
@@ -235,6 +237,19 @@ class ExtraTreesRegressor(RandomForestRegressor):
     splitter: str = "random"
 
 
+#: Trees whose scores a pass adds up itself before they are written to the rows.
+SCORED_TREES = 8
+
+
+def _uniform(i: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """Numbers in [0, 1) from row numbers and a seed (the finaliser of splitmix64)."""
+    with np.errstate(over="ignore"):
+        x = i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + seed
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
 @dataclass(frozen=True)
 class BoostFit(Fitted):
     edges: tuple[np.ndarray, ...]
@@ -245,9 +260,12 @@ class BoostFit(Fitted):
     def bins(self, X: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(e, X[:, j], side="right") for j, e in enumerate(self.edges)]).astype(float)
 
+    def steps(self, B: np.ndarray, trees: tuple[Tree, ...]) -> np.ndarray:
+        return self.spec.learning_rate * sum((t.predict(B)[:, 0] for t in trees), np.zeros(len(B)))
+
     def raw(self, X: np.ndarray) -> np.ndarray:
         B = self.bins(X)
-        return np.column_stack([b + self.spec.learning_rate * sum((t.predict(B)[:, 0] for t in seq), np.zeros(len(X))) for b, seq in zip(self.base, self.sequences, strict=True)])
+        return np.column_stack([b + self.steps(B, seq) for b, seq in zip(self.base, self.sequences, strict=True)])
 
     def probabilities(self, X: np.ndarray) -> np.ndarray:
         s = 1 / (1 + np.exp(-self.raw(X)))
@@ -268,7 +286,11 @@ class BoostFit(Fitted):
 
 @dataclass(frozen=True)
 class HistGradientBoostingRegressor(Spec):
-    """Trees on quantile bins with Newton leaves; each level of each tree is one histogram pass. Values on an edge go up."""
+    """Trees on quantile bins with Newton leaves; each level of each tree is one histogram pass. Values on an edge go up.
+
+    row_subsample: each tree takes each row with this probability, by a hash of its number. feature_subsample: share of the features,
+    rounded up, that each split chooses from. Rows carry the scores of earlier trees, renewed every few trees.
+    """
 
     n_estimators: int = 100
     learning_rate: float = 0.1
@@ -278,11 +300,14 @@ class HistGradientBoostingRegressor(Spec):
     l1: float = 0.0
     l2: float = 0.0
     tolerance: float = 1e-7
+    row_subsample: float = 1.0
+    feature_subsample: float = 1.0
     task = "regression"
     weights = True
 
     def __post_init__(self) -> None:
         check(2 <= self.max_bins <= 255, "max_bins must be 2 to 255")
+        check(0 < self.row_subsample <= 1 and 0 < self.feature_subsample <= 1, "subsamples must be above 0 and at most 1")
 
     def _fit(self, data: Dataset, context: Context) -> Fitted:
         n, p = guard(data.df, data.features, type(self).__name__), len(data.features)
@@ -300,24 +325,35 @@ class HistGradientBoostingRegressor(Spec):
                 s = partial_sums(rows, 2, lambda M, label=label: np.array([M[:, -1] @ label(M[:, -2]), M[:, -1].sum()]))
                 mean = s[0] / s[1]
                 start = mean if k is None else float(np.log(mean / (1 - mean)))
-                trees: list[Tree] = []
-                last = np.inf
-                for _ in range(self.n_estimators):
-                    fit = BoostFit(self, data.features, FitReport(n, p), edges, np.array([start]), (tuple(trees),), None)
-                    tree, loss = self._tree(rows, fit, label, k is not None, width)
+                trees, last, scored = [], np.inf, 0
+                state = rows.withColumns({"i": F.monotonically_increasing_id().cast("double"), "z": F.lit(start)})
+                # numbers of rows must not change between passes that draw by them
+                state = cut(state) if self.row_subsample < 1 else state.persist(StorageLevel.MEMORY_AND_DISK)
+                fit = BoostFit(self, data.features, FitReport(n, p), edges, np.array([start]), (), None)
+                for t in range(self.n_estimators):
+                    rng = context.rng("boosting", (k or 0) * self.n_estimators + t)
+                    tree, loss = self._tree(state, fit, tuple(trees[scored:]), label, k is not None, width, rng)
                     history.append(loss)
                     if abs(last - loss) <= self.tolerance:
                         break
                     last = loss
                     trees.append(tree)
+                    if len(trees) - scored == SCORED_TREES:
+                        recent, before = tuple(trees[scored:]), state
+                        state = add_numpy(state, [*[f"x{j}" for j in range(p)], "z"], [("z", "double")], lambda M, recent=recent: [M[:, p] + fit.steps(fit.bins(M[:, :p]), recent)]).persist(StorageLevel.MEMORY_AND_DISK)
+                        state.count()
+                        before.unpersist()
+                        scored = len(trees)
+                state.unpersist()
                 base.append(start)
                 sequences.append(tuple(trees))
         return BoostFit(self, data.features, FitReport(n, p, details={"loss": history}), edges, np.array(base), tuple(sequences), tuple(classes) if classes else None)
 
-    def _tree(self, rows: DataFrame, fit: BoostFit, label, logistic: bool, width: int) -> tuple[Tree, float]:
+    def _tree(self, rows: DataFrame, fit: BoostFit, recent: tuple[Tree, ...], label, logistic: bool, width: int, rng: np.random.Generator) -> tuple[Tree, float]:
         p = len(fit.features)
         nodes = [[-1, 0.0, -1, -1, 0.0]]
         frontier, loss = [0], 0.0
+        seed, choices = rng.integers(1 << 62, dtype=np.uint64), math.ceil(self.feature_subsample * p)
         shrink = lambda g: np.sign(g) * max(abs(g) - self.l1, 0.0)
         for depth in range(self.max_depth + 1):
             tree = self._made(nodes)
@@ -325,13 +361,15 @@ class HistGradientBoostingRegressor(Spec):
             size = len(frontier) * p * width * 3
 
             def block(M: np.ndarray, tree: Tree = tree, place: dict = place, size: int = size) -> np.ndarray:
-                X, y, w = M[:, :-2], label(M[:, -2]), M[:, -1]
-                B, z = fit.bins(X), fit.raw(X)[:, 0]
+                y, w, B = label(M[:, p]), M[:, p + 1], fit.bins(M[:, :p])
+                z = M[:, p + 3] + fit.steps(B, recent)
                 s = 1 / (1 + np.exp(-z)) if logistic else z
                 g, h = w * (s - y), w * (s * (1 - s) if logistic else np.ones(len(y)))
                 value = (w @ (np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z))))) if logistic else 0.5 * (w @ (z - y) ** 2)
                 at = np.array([place.get(v, -1) for v in range(len(tree.feature))])[tree.leaves(B)]
                 out, keep = np.zeros(size), at >= 0
+                if self.row_subsample < 1:
+                    keep &= _uniform(M[:, p + 2], seed) < self.row_subsample
                 for j in range(p):
                     base = ((at[keep] * p + j) * width + B[keep, j].astype(int)) * 3
                     for k, v in enumerate((g, h, np.ones(len(y)))):
@@ -352,6 +390,8 @@ class HistGradientBoostingRegressor(Spec):
                 score = lambda A: np.maximum(np.abs(A[..., 0]) - self.l1, 0) ** 2 / (A[..., 1] + self.l2 + 1e-12)
                 gain = score(L) + score(R) - shrink(G) ** 2 / (W + self.l2 + 1e-12)
                 gain[(L[..., 2] < self.min_samples_leaf) | (R[..., 2] < self.min_samples_leaf)] = -1
+                if choices < p:
+                    gain[np.setdiff1d(np.arange(p), rng.choice(p, choices, replace=False))] = -1
                 j, b = divmod(int(gain.argmax()), gain.shape[1])
                 if gain[j, b] <= 1e-12:
                     continue
@@ -428,8 +468,8 @@ class IsolationForest(Spec):
         fit = IsolationFit(self, data.features, FitReport(n, len(data.features), details={"sample": size}), trees, max(_path(size), 1e-12), 0.5)
         if self.contamination is None:
             return fit
-        cut = quantiles(fit.anomaly_score(data.df), F.col("score"), [1 - self.contamination])[0]
-        return IsolationFit(self, data.features, fit.report, trees, fit.normal, cut)
+        threshold = quantiles(fit.anomaly_score(data.df), F.col("score"), [1 - self.contamination])[0]
+        return IsolationFit(self, data.features, fit.report, trees, fit.normal, threshold)
 
     def _tree(self, X: np.ndarray, rng: np.random.Generator) -> Tree:
         rows, depth_limit = [], math.ceil(math.log2(max(len(X), 2)))

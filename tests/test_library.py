@@ -326,3 +326,36 @@ def test_dbscan_by_force(spark, monkeypatch):
     assert [by_blocks[i] for i in np.flatnonzero(core)] == [want[i] for i in np.flatnonzero(core)] and by_blocks[-1] == 0
     monkeypatch.setattr(U, "CORE_NUMBERS", 0)
     assert f.predict(df).orderBy("id").toPandas()["cluster"].tolist() == by_blocks
+
+
+def test_boosting_carries_scores_and_draws(spark, monkeypatch):
+    from orrery.operators import trees as T
+
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(400, 3))
+    rows = [(i, *map(float, x), float(x[0] * 2 + (x[1] > 0)), "np"[int(x[0] + x[1] > 0)]) for i, x in enumerate(X)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double, k string").repartition(3).cache()
+    fitted = {}
+    for held_trees in (2, 100):
+        monkeypatch.setattr(T, "SCORED_TREES", held_trees)
+        f = T.HistGradientBoostingRegressor(n_estimators=7, learning_rate=0.5).fit(df, features=list("abc"), target="y")
+        fitted[held_trees] = f.predict(df).orderBy("id").toPandas()["prediction"].to_numpy()
+    assert np.allclose(fitted[2], fitted[100])
+    monkeypatch.setattr(T, "SCORED_TREES", 4)
+    drawn = T.HistGradientBoostingRegressor(n_estimators=7, learning_rate=0.5, row_subsample=0.5, feature_subsample=0.6)
+    one, again = (drawn.fit(df, features=list("abc"), target="y", context=Context(5)).predict(df).orderBy("id").toPandas() for _ in range(2))
+    assert np.allclose(one["prediction"], again["prediction"]) and not np.allclose(one["prediction"], fitted[2])
+    assert np.sqrt(((one["prediction"] - one["y"]) ** 2).mean()) < one["y"].std() / 2
+    c = T.HistGradientBoostingClassifier(n_estimators=6, learning_rate=0.5, row_subsample=0.7).fit(df, features=list("abc"), target="k").predict(df).toPandas()
+    assert (c["prediction"] == c["k"]).mean() > 0.9
+
+
+def test_neighbors_in_blocks(spark, monkeypatch):
+    from orrery.operators import neighbors as N
+
+    df = spark.range(90).select("id", (F.col("id") * 37 % 89).cast("double").alias("x"), (F.col("id") * 11 % 13).cast("double").alias("y")).repartition(3)
+    f = N.NearestNeighbors(4).fit(df, features=["x", "y"], id="id")
+    rows = lambda: [(r["query_id"], r["rank"], r["neighbor_id"], round(r["distance"], 9)) for r in f.kneighbors(df, "id").orderBy("query_id", "rank").collect()]
+    whole = rows()
+    monkeypatch.setattr(N, "BLOCK_ROWS", 20)
+    assert rows() == whole and len(whole) == 360
