@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.plans.ordering import quantiles
+from orrery.plans.ordering import quantiles, row_numbers, running_sums
 from orrery.plans.passes import moments
 
 
@@ -195,6 +195,15 @@ def rank_values(value: str, ties: str = "average", partition: Sequence[str] = ()
     return (low if ties == "min" else low + same - 1 if ties == "max" else low + (same - 1) / 2).cast("double")
 
 
+def rank_rows(df: DataFrame, value: str, ties: str = "average") -> DataFrame:
+    """The rows with ``rank`` over the whole table: distinct values are counted and ordered by ranges, and joined back."""
+    counted, _ = row_numbers(df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")), F.asc("_v"))
+    sums, _ = running_sums(counted.withColumn("_e", F.col("_c").cast("double")), F.asc("_v"), ["_e"])
+    low = F.col("_e") - F.col("_c") + 1
+    rank = {"dense": F.col("_r") + 1.0, "min": low, "max": F.col("_e"), "average": (low + F.col("_e")) / 2}[ties]
+    return df.join(sums.select("_v", rank.alias("rank")), F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
+
+
 def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
     """(row, column, n) for all pairs of levels, zeros included. Levels are few by nature; the grid is built from them."""
     grid = df.select(F.col(row).alias("row")).distinct().crossJoin(df.select(F.col(column).alias("column")).distinct())

@@ -154,3 +154,9 @@ def mahalanobis(spark, d):
 @_query("SELECT event_id, (CASE WHEN k < (n % 4) * (n // 4 + 1) THEN k // (n // 4 + 1) ELSE n % 4 + (k - (n % 4) * (n // 4 + 1)) // (n // 4) END + 1)::INT AS fold FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS k, count(*) OVER () AS n FROM events)")
 def k_fold_in_order(spark, d):
     return selection.split(selection.KFold(4), _read(spark, d, "events"), "event_id").select("event_id", "fold")
+
+
+@_query("SELECT l_orderkey, l_linenumber::INT AS l_linenumber, l_quantity, rank() OVER w + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS rank FROM lineitem WINDOW w AS (ORDER BY l_quantity)")
+def rank_whole_table(spark, d):
+    df = _read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_quantity")
+    return K.rank_rows(df, "l_quantity")
