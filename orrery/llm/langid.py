@@ -14,6 +14,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -201,20 +202,46 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
 def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learns from rows with text and lang that are not held out. At most per_language documents of each language are read.
 
-    Which ones is decided on the id and language columns alone; every task keeps only its own first ones of each language.
+    Which ones is decided on the id and language columns alone. Of an id that stands in several rows the least (lang, text) is read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(F.col("lang").isNotNull() & ~held_out())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
-    ids = sorted({r["doc_id"] for r in chosen.select("doc_id").collect() if r["doc_id"] is not None})
+    ids = training_ids(rows.select("doc_id", "lang"), per_language)
     if not ids:
         return train([])
     picked = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id")
-    found = picked.where("text is not null").select("doc_id", "lang", "text").collect()
+    least = picked.where("text is not null").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row"))
+    found = least.select("doc_id", "row.*").collect()
     found.sort(key=lambda r: (hash_order(r["doc_id"]), r["lang"], r["text"]))
     return train([(r["lang"], r["text"]) for r in found])
 
 
+def training_ids(rows: DataFrame, per_language: int) -> list[int]:
+    """Of each language the per_language ids of least hash.
+
+    Only hashes below a bound, chosen by the language's number of rows, are sorted: some four times as many as are wanted, whatever
+    the number of rows. A language with too few below its bound (equal ids have equal hashes) is done again without one.
+    """
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    order = F.xxhash64("doc_id")
+    first = Window.partitionBy("lang").orderBy(order, "doc_id")
+
+    def chosen(bounds: dict[str, float]) -> list[tuple[str, int | None]]:
+        known = rows.sparkSession.createDataFrame(list(bounds.items()), "lang string, bound double")
+        below = rows.join(F.broadcast(known), "lang").where(order / F.lit(2.0**64) + 0.5 <= F.col("bound"))
+        numbered = below.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
+        return [(r["lang"], r["doc_id"]) for r in numbered.select("lang", "doc_id").collect()]
+
+    if not sizes:
+        return []
+    bounds = {lang: min((4 * per_language + 64) / n, 1.0) for lang, n in sizes.items()}
+    found = chosen(bounds)
+    have = Counter(lang for lang, _ in found)
+    short = {lang: 1.0 for lang, n in sizes.items() if bounds[lang] < 1 and have[lang] < min(per_language, n)}
+    if short:
+        found = [(lang, i) for lang, i in found if lang not in short] + chosen(short)
+    return sorted({i for _, i in found if i is not None})
+
+
 def hash_order(doc_id: int) -> int:
     return int(mix(np.array([doc_id], dtype=np.int64).view(np.uint64))[0])
 

@@ -579,6 +579,21 @@ def test_language(spark, docs, empty):
     assert langid.predict_languages(empty).count() == 0 and langid.keep_identified(docs, model).columns == docs.columns
 
 
+def test_training_ids_are_those_of_least_hash(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("l"), F.col("id") % 30)).otherwise("hot").alias("lang"))
+    once = spark.createDataFrame([(7, "same")] * 500 + [(8, "two"), (9, "two")], "doc_id long, lang string")
+    for df, k in ((rows, 20), (rows.union(once), 20), (rows.limit(0), 20), (rows, 10_000)):
+        by = defaultdict(list)
+        for r in df.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).collect():
+            by[r["lang"]].append((r["h"], r["doc_id"]))
+        assert langid.training_ids(df, k) == sorted({i for own in by.values() for _, i in sorted(own)[:k]})
+    # of an id in several rows the least text is read, and the fit ends
+    again = spark.createDataFrame([(i, f"wort{j} und noch eins", "de") for i in range(30) for j in range(3)] + [(i + 100, f"word {i} and one more", "en") for i in range(30)], "doc_id long, text string, lang string")
+    assert langid.fit_languages(again).languages == ["de", "en"]
+
+
 # --- queries and pipeline ---
 
 
