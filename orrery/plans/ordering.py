@@ -6,7 +6,9 @@ last row come to the driver: as many rows as the sort has partitions.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from orrery.plans.graphs import cut
 
 #: Accuracy of the estimate that brackets an exact quantile.
 _ACCURACY = 10_000
+#: Distinct values of a bracket that the driver sorts itself; more are ordered by ranges.
+FEW = 10_000
 
 
 def ordered(df: DataFrame, *order: Column) -> DataFrame:
@@ -92,6 +96,12 @@ def quantiles(df: DataFrame, value: Column, shares: Sequence[float]) -> list[flo
             continue
         inside, start = (values.where(F.col("v").between(*brackets[i])), below[f"a{i}"]) if covered else (values, 0)
         counted = inside.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+        few = sorted(tuple(r) for r in counted.limit(FEW + 1).collect())
+        if len(few) <= FEW:
+            ends = [start + e for e in accumulate(c for _, c in few)]
+            hit = [few[bisect_right(ends, w)][0] for w in wanted]
+            out.append(float(hit[0] + (hit[1] - hit[0]) * part))
+            continue
         sums, _ = running_sums(counted, F.asc("v"), ["c"])
         hit = [sums.where(F.col("c") + start > w).agg(F.min("v")).first()[0] for w in wanted]
         out.append(float(hit[0] + (hit[1] - hit[0]) * part))

@@ -243,7 +243,8 @@ def test_pools_keep_the_share_of_repeated_rows(spark):
     assert abs(np.mean(seen) - 1 / 3) < 0.05
 
 
-def test_ordering(spark):
+def test_ordering(spark, monkeypatch):
+    from orrery.plans import ordering
     from orrery.plans.ordering import quantiles, row_numbers, running_sums, with_previous
 
     df = spark.range(1000, numPartitions=7).select(((F.col("id") * 37) % 1000).alias("k"), F.lit(1.0).alias("v"))
@@ -257,7 +258,9 @@ def test_ordering(spark):
     rng = np.random.default_rng(2)
     for x in (rng.normal(size=801), np.r_[np.zeros(500), rng.exponential(size=300)], np.r_[-1e300, 1e300, 3.0], np.array([2.0])):
         rows = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(5)
-        assert np.allclose(quantiles(rows, F.col("x"), [0, 0.25, 0.5, 0.9, 1]), np.quantile(x, [0, 0.25, 0.5, 0.9, 1]), rtol=1e-12)
+        for few in (10_000, 0):
+            monkeypatch.setattr(ordering, "FEW", few)
+            assert np.allclose(quantiles(rows, F.col("x"), [0, 0.25, 0.5, 0.9, 1]), np.quantile(x, [0, 0.25, 0.5, 0.9, 1]), rtol=1e-12)
 
 
 def test_functions_refuse_and_keep_digits(spark):
