@@ -331,6 +331,58 @@ def test_dbscan_by_force(spark, monkeypatch):
     assert f.predict(df).orderBy("id").toPandas()["cluster"].tolist() == by_blocks
 
 
+def test_dbscan_makes_no_list_of_pairs(spark, monkeypatch):
+    from orrery.operators import unsupervised as U
+    from orrery.plans import blocks as B
+
+    # different points of one dense group, of a chain at exactly the radius, and far apart in many features
+    rng = np.random.default_rng(8)
+    chain = np.zeros((70, 12))
+    chain[:, 0] = 50 + 0.5 * np.arange(70)
+    X = np.r_[rng.normal(0, 0.01, (300, 12)), chain, rng.normal(0, 9, (200, 12)), np.full((1, 12), 1e9)]
+    X = X[rng.permutation(len(X))]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(X)], "id long, " + ", ".join(f"f{i} double" for i in range(12))).repartition(3)
+    made = []
+    meet = B.Blocks.meet
+
+    def seen(*a):
+        out = meet(*a).persist()
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(B.Blocks, "meet", seen)
+    monkeypatch.setattr(B, "BLOCK", 128)
+    monkeypatch.setattr(B, "PART", 16)
+    f = U.DBSCAN(0.5, 3).fit(df, features=[f"f{i}" for i in range(12)], id="id")
+    assert max(made) < 8 * len(X)  # the group alone has 90 000 pairs
+    near = ((X[:, None] - X[None]) ** 2).sum(axis=2) <= 0.25
+    core, reach = near.sum(axis=1) >= 3, np.eye(len(X), dtype=bool)
+    for _ in range(8):
+        reach = (reach.astype(int) @ (near & core & core[:, None] | reach).astype(int)) > 0
+        reach = (reach.astype(int) @ reach.astype(int)) > 0
+    first = np.array([np.flatnonzero(r & core).min() if c else -1 for r, c in zip(reach, core, strict=True)])
+    number = {v: i + 1 for i, v in enumerate(sorted(set(first[core])))}
+    own = np.array([number.get(v, 0) for v in first])
+    want = [c or min(own[near[i] & core], default=0) for i, c in enumerate(own)]
+    got = f.labels.orderBy("id").toPandas()
+    assert got["cluster"].tolist() == want and got["core"].tolist() == core.tolist() and max(want) == 2
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e7, 1e150])
+def test_close_pairs_are_those_of_the_plain_sum(scale):
+    from orrery.plans.blocks import close
+
+    X = np.stack(np.meshgrid(*[np.arange(5.0)] * 3), axis=-1).reshape(-1, 3) * 0.1 * scale + 1e3 * scale
+    square = (0.1 * scale) ** 2
+    with np.errstate(over="ignore"):
+        gap = (X[:, None] - X[None]) ** 2
+        want = gap[..., 0] + gap[..., 1] + gap[..., 2] <= square
+    got = np.zeros_like(want)
+    for i, j in close(X, X, square):
+        got[i, j] = True
+    assert (got == want).all()
+
+
 def test_boosting_carries_scores_and_draws(spark, monkeypatch):
     from orrery.operators import trees as T
 
