@@ -1,21 +1,21 @@
-"""Trees and forests. Exact trees are grown from sorted prefix sums; forests grow one tree per task; boosting bins features by
+"""Trees and forests. Exact trees are grown from sorted prefix sums, on the driver or, of many rows, in distributed passes; forests grow one tree per task; boosting bins features by
 quantiles and finds every level's splits from one distributed histogram pass."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.core import Context, Dataset, Fitted, FitReport, Spec, add_numpy, check, proba_names
 from orrery.plans.graphs import cut
-from orrery.plans.ordering import quantiles
+from orrery.plans.ordering import quantiles, running_sums_within
 from orrery.plans.passes import class_index, classes_of, collect_local, guard, held, number, partial_sums, pool
 
 
@@ -108,6 +108,146 @@ def grow(X: np.ndarray, S: np.ndarray, w: np.ndarray, spec, rng: np.random.Gener
     return Tree(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([r[4] for r in rows]))
 
 
+#: Rows of a tree that the driver grows, and of a node below which a tree's rest is grown within a task.
+LOCAL_ROWS, TASK_ROWS = 200_000, 50_000
+
+
+def _impurity_column(s: list[Column], criterion: str) -> Column:
+    """``_impurity`` as an expression."""
+    if criterion == "squared_error":
+        return s[2] - s[1] * s[1] / F.greatest(s[0], F.lit(1e-300))
+    total = sum(s, F.lit(0.0))
+    shares = [v / F.greatest(total, F.lit(1e-300)) for v in s]
+    if criterion == "gini":
+        return total * (1 - sum((v * v for v in shares), F.lit(0.0)))
+    return -total * sum((F.when(v > 0, v * F.log2(F.greatest(v, F.lit(1e-300)))).otherwise(0.0) for v in shares), F.lit(0.0))
+
+
+def grow_large(data: Dataset, classes: list | None, spec, rng: np.random.Generator, features: int | None = None) -> Tree:
+    """The tree of ``grow`` from any number of rows, level by level.
+
+    Rows are summed by node, feature and value; running sums over ranges of these give each cut's gain, and the best of each node
+    and feature comes to the driver. Nodes of at most TASK_ROWS rows are grown to their end within a task each.
+    """
+    p, spark = len(data.features), data.df.sparkSession
+    w = number(data.weight) if data.weight else F.lit(1.0)
+    if classes is None:
+        y = number(data.targets[0])
+        S = [w, w * y, w * y * y]
+    else:
+        y = class_index(data.targets[0], classes)
+        S = [F.when(y == i, w).otherwise(0.0) for i in range(len(classes))]
+    s, x = [f"s{i}" for i in range(len(S))], [f"x{i}" for i in range(p)]
+    # 0.0 makes -0.0 and 0.0 one value
+    rows = cut(data.df.select(F.lit(0).cast("long").alias("node"), *[(number(c) + F.lit(0.0)).alias(v) for c, v in zip(data.features, x, strict=True)], *[v.alias(c) for v, c in zip(S, s, strict=True)]))
+    nodes: list[list] = [[-1, 0.0, -1, -1, None]]
+    small: list[DataFrame] = []
+    seeds: dict[int, tuple[int, int]] = {}
+    weight, depth = None, 0
+    while True:
+        known = {r["node"]: (r["n"], np.array([r[c] for c in s])) for r in rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in s]).collect()}
+        total = (lambda v: v[0]) if classes is None else np.sum
+        weight = float(total(known[0][1])) if weight is None else weight
+        large, few = {}, []
+        for v, (n, sums) in sorted(known.items()):
+            nodes[v][4] = np.array([sums[1] / sums[0]]) if classes is None else sums / sums.sum()
+            here = float(_impurity(sums, total(sums), spec.criterion))
+            if (spec.max_depth is not None and depth >= spec.max_depth) or n < spec.min_samples_split or here <= 1e-12:
+                continue
+            if n <= TASK_ROWS:
+                few.append(v)
+                seeds[v] = (int(rng.integers(1 << 62)), depth)
+            else:
+                large[v] = (n, sums, here)
+        if few:
+            small.append(rows.where(F.col("node").isin(few)))
+        if not large:
+            break
+        splits = _large_splits(rows, large, weight, spec, rng, features, p, s)
+        if not splits:
+            break
+        moves = []
+        for v, (j, t) in sorted(splits.items()):
+            nodes[v][:4] = [j, t, len(nodes), len(nodes) + 1]
+            moves.append((v, j, t, len(nodes), len(nodes) + 1))
+            nodes += [[-1, 0.0, -1, -1, None], [-1, 0.0, -1, -1, None]]
+        to = F.broadcast(spark.createDataFrame(moves, "node long, j int, t double, left long, right long"))
+        goes = F.when(F.element_at(F.array(*x), F.col("j") + 1) <= F.col("t"), F.col("left")).otherwise(F.col("right"))
+        rows = cut(rows.join(to, "node").select(goes.alias("node"), *x, *s))
+        depth += 1
+    rest: dict[int, Tree] = {}
+    if small:
+
+        def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+            import pickle
+
+            node = key[0].as_py()
+            seed, at = seeds[node]
+            own = replace(spec, max_depth=None if spec.max_depth is None else spec.max_depth - at)
+            X, S = (np.column_stack([group[c].to_numpy() for c in names]) for names in (x, s))
+            t = grow(X, S, np.array([weight]), own, np.random.Generator(np.random.PCG64(seed)), features)
+            return pa.table({"node": pa.array([node], pa.int64()), "tree": pa.array([pickle.dumps((t.feature, t.threshold, t.left, t.right, t.value))], pa.binary())})
+
+        import pickle
+
+        every = small[0]
+        for other in small[1:]:
+            every = every.union(other)
+        rest = {r["node"]: Tree(*pickle.loads(r["tree"])) for r in every.groupBy("node").applyInArrow(run, "node long, tree binary").collect()}
+    # in the order of ``grow``: a node, what is left of it, what is right of it
+    out: list[list] = []
+
+    def place(v: int) -> int:
+        at = len(out)
+        if v in rest:
+            t = rest[v]
+            out.extend([int(f), float(c), int(a) + at if a >= 0 else -1, int(b) + at if b >= 0 else -1, u] for f, c, a, b, u in zip(t.feature, t.threshold, t.left, t.right, t.value, strict=True))
+            return at
+        out.append(list(nodes[v]))
+        if nodes[v][0] >= 0:
+            out[at][2] = place(nodes[v][2])
+            out[at][3] = place(nodes[v][3])
+        return at
+
+    place(0)
+    return Tree(*[np.array([r[k] for r in out]) for k in range(5)])
+
+
+def _large_splits(rows: DataFrame, large: dict, weight: float, spec, rng: np.random.Generator, features: int | None, p: int, s: list[str]) -> dict[int, tuple[int, float]]:
+    """The best feature and threshold of each node that has one."""
+    spark, sums = rows.sparkSession, ", ".join(f"t{i} double" for i in range(len(s)))
+    totals = F.broadcast(spark.createDataFrame([(v, n, *map(float, t), here) for v, (n, t, here) in large.items()], f"node long, n long, {sums}, here double"))
+    chosen = [(v, j) for v in large for j in (range(p) if features is None or features >= p else sorted(rng.choice(p, features, replace=False).tolist()))]
+    long = rows.select("node", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"x{j}").alias("v")) for j in range(p)])).alias("e"), *s).select("node", "e.j", "e.v", *s)
+    long = long.join(F.broadcast(spark.createDataFrame(chosen, "node long, j int")), ["node", "j"])
+    added = [F.count(F.lit(1)).cast("double").alias("c"), *[F.sum(c).alias(c) for c in s]]
+    if spec.splitter == "random":
+        ends = sorted(long.groupBy("node", "j").agg(F.min("v"), F.max("v")).collect())
+        drawn = [(v, j, float(rng.uniform(a, b))) for v, j, a, b in ends if a < b]
+        if not drawn:
+            return {}
+        cuts = F.broadcast(spark.createDataFrame(drawn, "node long, j int, t double"))
+        left = long.join(cuts, ["node", "j"]).where("v <= t").groupBy("node", "j", F.col("t").alias("v")).agg(*added)
+    else:
+        left = running_sums_within(long.groupBy("node", "j", "v").agg(*added), ["node", "j"], "v", ["c", *s])
+    one, two = [F.col(c) for c in s], [F.col(f"t{i}") - F.col(c) for i, c in enumerate(s)]
+    gain = (F.col("here") - _impurity_column(one, spec.criterion) - _impurity_column(two, spec.criterion)) / F.lit(weight)
+    least = max(spec.min_samples_leaf, 1)
+    scored = left.join(totals, "node").where((F.col("c") >= least) & (F.col("n") - F.col("c") >= least)).select("node", "j", "v", gain.alias("gain"))
+    best: dict[int, tuple[float, tuple[int, float]]] = {}
+    for r in sorted(scored.groupBy("node", "j").agg(F.max(F.struct("gain", (-F.col("v")).alias("v"))).alias("best")).collect(), key=lambda r: (r["node"], r["j"])):
+        if r["best"]["gain"] > best.get(r["node"], (max(spec.min_impurity_decrease, 1e-12), None))[0] + 1e-15:
+            best[r["node"]] = (r["best"]["gain"], (r["j"], -r["best"]["v"]))
+    found = {v: split for v, (_, split) in best.items()}
+    if spec.splitter == "random" or not found:
+        return found
+    # thresholds lie halfway to the next value
+    at = F.broadcast(spark.createDataFrame([(v, j, a) for v, (j, a) in found.items()], "node long, j int, a double"))
+    own = F.element_at(F.array(*[f"x{j}" for j in range(p)]), F.col("j") + 1)
+    above = {r["node"]: r["b"] for r in rows.join(at, "node").groupBy("node").agg(F.min(F.when(own > F.col("a"), own)).alias("b")).collect()}
+    return {v: (j, a if (a + above[v]) / 2 >= above[v] else (a + above[v]) / 2) for v, (j, a) in found.items()}
+
+
 @dataclass(frozen=True)
 class TreesFit(Fitted):
     """The mean of several trees' values: probabilities, or a number."""
@@ -145,7 +285,7 @@ def _statistics(local, classes: list | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class DecisionTreeClassifier(Spec):
-    """Greedy exact tree; criterion gini or entropy; splitter best or random."""
+    """Greedy exact tree; criterion gini or entropy; splitter best or random. More than LOCAL_ROWS rows take distributed passes."""
 
     criterion: str = "gini"
     splitter: str = "best"
@@ -164,7 +304,12 @@ class DecisionTreeClassifier(Spec):
 
     def _fit(self, data: Dataset, context: Context) -> Fitted:
         classes = classes_of(data) if self.task == "classification" else None
-        local = collect_local(data, type(self).__name__, 200_000)
+        n = guard(data.df, data.features, type(self).__name__)
+        if n > LOCAL_ROWS:
+            guard(data.df, [*([data.targets[0]] if classes is None else []), *([data.weight] if data.weight else [])], type(self).__name__)
+            tree = grow_large(data, classes, self, context.rng("tree"), self._n_features(len(data.features)))
+            return TreesFit(self, data.features, FitReport(n, len(data.features), details={"nodes": len(tree.feature)}), (tree,), tuple(classes) if classes else None)
+        local = collect_local(data, type(self).__name__, LOCAL_ROWS)
         tree = grow(local.X, _statistics(local, classes), local.w, self, context.rng("tree"), self._n_features(local.X.shape[1]))
         return TreesFit(self, data.features, FitReport(len(local.X), len(data.features), details={"nodes": len(tree.feature)}), (tree,), tuple(classes) if classes else None)
 

@@ -383,6 +383,37 @@ def test_close_pairs_are_those_of_the_plain_sum(scale):
     assert (got == want).all()
 
 
+@pytest.mark.parametrize("kind", ["gini", "entropy", "squared_error"])
+def test_large_trees_are_those_of_the_driver(spark, monkeypatch, kind):
+    from orrery.operators import trees as T
+
+    rng = np.random.default_rng(9)
+    X = np.c_[rng.integers(0, 4, 600), rng.normal(size=600), np.where(rng.random(600) < 0.3, -0.0, rng.integers(-3, 3, 600) / 4)]
+    y = np.round(X[:, 0] * 2 + (X[:, 1] > 0.3) - X[:, 2] ** 2 + rng.normal(0, 0.3, 600), 3)
+    rows = [(i, *map(float, v), float(t), "abc"[int(t > 1) + int(t > 4)], 1.0 + i % 3) for i, (v, t) in enumerate(zip(X, y, strict=True))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double, k string, w double").repartition(3)
+    monkeypatch.setattr(T, "TASK_ROWS", 120)
+    for depth, leaf, weight in ((1, 1, None), (5, 4, "w")):
+        spec = T.DecisionTreeRegressor(max_depth=depth, min_samples_leaf=leaf) if kind == "squared_error" else T.DecisionTreeClassifier(criterion=kind, max_depth=depth, min_samples_leaf=leaf)
+        made = []
+        for most in (200_000, 100):
+            monkeypatch.setattr(T, "LOCAL_ROWS", most)
+            made.append(spec.fit(df, features=list("abc"), target="y" if kind == "squared_error" else "k", id="id", weight=weight).trees[0])
+        one, large = made
+        assert len(one.feature) > depth and all(np.allclose(getattr(one, f), getattr(large, f)) for f in ("feature", "threshold", "left", "right", "value"))
+    drawn = T.DecisionTreeRegressor(splitter="random", max_features=2, max_depth=9).fit(df, features=list("abc"), target="y")
+    got = drawn.predict(df).toPandas()
+    assert ((got["prediction"] - got["y"]) ** 2).mean() < got["y"].var() / 3
+
+
+def test_tree_stump_of_more_rows_than_the_driver_takes(spark, tmp_path):
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    copies = part.crossJoin(spark.range(-(-200_001 // part.count())).withColumnRenamed("id", "k"))
+    copies.withColumn("p_partkey", F.col("p_partkey") + F.col("k") * 1_000_000).drop("k").write.parquet(f"{tmp_path}/part.parquet")
+    whole, own = (library.queries()["tree_stump"](spark, d).collect() for d in (tmp_path, SF))
+    assert whole == own
+
+
 def test_boosting_carries_scores_and_draws(spark, monkeypatch):
     from orrery.operators import trees as T
 
