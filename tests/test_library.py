@@ -368,7 +368,7 @@ def test_dbscan_makes_no_list_of_pairs(spark, monkeypatch):
     assert got["cluster"].tolist() == want and got["core"].tolist() == core.tolist() and max(want) == 2
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e7, 1e150])
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e7, 1e-60, 1e150])
 def test_close_pairs_are_those_of_the_plain_sum(scale):
     from orrery.plans.blocks import close
 
